@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.byte_bpe import op8_byte_bpe
 from lodestrata.llm.packing import op1_packing
+from lodestrata.llm.pii import op5_pii
+from lodestrata.llm.secret_scan import op7_secret_scan
 from lodestrata.llm.sharding import op4_sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op7_secret_scan": op7_secret_scan, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
