@@ -30,7 +30,7 @@ from lodestrata.llm.common import python_ready, table
 
 CAPACITY, MAX_ITEM, BLOCK_ITEMS, END_ID = 4096, 1024, 768, 2
 #: Words whose ids a task remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -87,26 +87,91 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
         k += max(1, over // capacity)
 
 
+class Known(dict):
+    """Words and their ids; a word that is asked for first is learnt."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        found = self[word] = self.learn(word) if word else b""
+        return found
+
+
 class WordIds:
-    """Ids of texts. Every match of the tokenizer's own split lies between spaces, so ids are kept per word."""
+    """Ids of texts, as the tokenizers library gives them for the file at ``path``.
+
+    Every match of the tokenizer's own split lies between spaces, so ids are kept per word. Plain words of Latin
+    letters, digits and marks go through the same merges in tiktoken's faster core; all others, and all words if the
+    file is of another make, through the library itself.
+
+    In the core a byte that UTF-8 lacks stands for the end of a word and is merged first. The core joins two parts
+    whenever their joined bytes are a token, the library only as listed; both agree, because a span whose edges
+    no earlier merge has crossed is split just as the token alone would be, and there is one merge for each token.
+    """
+
+    END = b"\xff"
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known(self._learn)
+        self.core, self.ids = self._core(path)
+        self.plain = regex.compile(r"[\x21-\x7e\u00a1-\u012f\u0131-\u024f]+").fullmatch
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+
+    @classmethod
+    def _core(cls, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, steps = spec["model"], spec["pre_tokenizer"].get("pretokenizers", [])
+        known_split = [x.get("pattern", {}).get("Regex") for x in steps] == ["'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+", None]
+        if not known_split or model.get("end_of_word_suffix") != "</w>" or model.get("ignore_merges"):
+            return None, None
+        # The usual printable stand-ins of bytes: printable Latin-1 stands for itself, the rest is moved up.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+        byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+
+        def raw(token: str) -> bytes:
+            end = token.endswith("</w>") and token != "</w>"
+            return bytes(byte_of[c] for c in (token[:-4] if end else token)) + (cls.END if end else b"")
+
+        vocab = model["vocab"]
+        single = sorted((c for c in byte_of if c in vocab), key=byte_of.get)
+        merged = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        order = [(bytes([b]), vocab.get(c)) for c, b in sorted(byte_of.items(), key=lambda x: x[1])]
+        order += [(raw(c + "</w>"), vocab.get(c + "</w>")) for c in single]
+        order += [(raw(a + b), vocab[a + b]) for a, b in merged]
+        ranks = {}
+        for token, _ in order:
+            if token in ranks:
+                return None, None
+            ranks[token] = len(ranks)
+        encoding = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})
+        return encoding._core_bpe.encode_single_piece, [b"" if i is None else np.asarray([i], "<u4").tobytes() for _, i in order]
+
+    def _by_core(self, word: str) -> bytes:
+        return b"".join([b"".join(map(self.ids.__getitem__, self.core(part.encode() + self.END))) for part in self.split(word)])
+
+    def _learn(self, word: str) -> bytes:
+        if self.core and self.plain(word) and "<|" not in word:
+            return self._by_core(word.lower())
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        words = [x.replace("\n", " ").split(" ") for x in texts]
-        new = list({w for ws in words for w in ws if w not in self.known})
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {"": b""}
-            new = list({w for ws in words for w in ws if w})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        out = []
+        for text in texts:
+            if len(self.known) > REMEMBERED:
+                self.known.clear()
+            out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
+        return out
 
 
 def _pieces(path: str, capacity: int, max_item: int, block_items: int, end_id: int):
