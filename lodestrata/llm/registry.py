@@ -7,15 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.byte_bpe import op8_byte_bpe
+from lodestrata.llm.media import op10_media
 from lodestrata.llm.packing import op1_packing
 from lodestrata.llm.pii import op5_pii
 from lodestrata.llm.secret_scan import op7_secret_scan
 from lodestrata.llm.sharding import op4_sharding
+from lodestrata.llm.topk import OP9_SQL, op9_topk
+from lodestrata.llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op4_sharding": op4_sharding, "op5_pii": op5_pii, "op7_secret_scan": op7_secret_scan, "op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op1_packing": op1_packing,
+        "op4_sharding": op4_sharding,
+        "op5_pii": op5_pii,
+        "op6_toxicity": op6_toxicity,
+        "op7_secret_scan": op7_secret_scan,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_topk": op9_topk,
+        "op10_media": op10_media,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_topk": OP9_SQL}

@@ -141,8 +141,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidate_block: i
     counts = rows.agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).first()
     n, m = max(1, -(-counts["n"] // candidate_block)), max(1, -(-counts["q"] // query_block))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(m))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).cast("long"))
-    others = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n))).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long"))
+    queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(m).cast("long"))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    others = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n).cast("long"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     pairs = queries.groupBy("qb", "cb").cogroup(others.groupBy("qb", "cb")).applyInPandas(_blocks(k, leaf), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
@@ -154,9 +154,9 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
   FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
