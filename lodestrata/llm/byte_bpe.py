@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import python_ready, table
 
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -82,7 +83,7 @@ class Codec:
     """Ids of pre-tokens and back. ``tokens``: the bytes of each rank, in order."""
 
     def __init__(self, tokens: list[bytes]):
-        self.tokens, self.hash = tokens, PerfectHash(tokens)
+        self.tokens, self.hash, self.ranks = tokens, PerfectHash(tokens), {t: i for i, t in enumerate(tokens)}
 
     @classmethod
     def read(cls, path: str) -> Codec:
@@ -97,32 +98,28 @@ class Codec:
         return [whole] if whole >= 0 else self.merged(piece)
 
     def merged(self, piece: bytes) -> list[int]:
-        n = len(piece)
-        end = list(range(1, n + 1))  # of the part that starts here
+        """The heap holds (rank, start, middle, end) of neighbours whose joined bytes are a token."""
+        n, rank_of, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
+        end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged into another
         before = list(range(-1, n - 1))
-        alive = [True] * n
-        heap = []
-
-        def offer(a: int) -> None:
-            b = end[a]
-            if b < n and (rank := self.hash.get(piece[a : end[b]])) >= 0:
-                heapq.heappush(heap, (rank, a, b, end[b]))
-
-        for a in range(n - 1):
-            offer(a)
+        heap = [(rank, a, a + 1, a + 2) for a in range(n - 1) if (rank := rank_of(piece[a : a + 2])) is not None]
+        heapq.heapify(heap)
         while heap:
-            _, a, b, stop = heapq.heappop(heap)
-            if not alive[a] or end[a] != b or not alive[b] or end[b] != stop:
+            _, a, b, stop = pop(heap)
+            if end[a] != b or end[b] != stop:
                 continue  # one of the two parts has been merged meanwhile
-            alive[b], end[a] = False, stop
+            end[b], end[a] = 0, stop
             if stop < n:
                 before[stop] = a
-                offer(a)
-            if before[a] >= 0:
-                offer(before[a])
+                further = end[stop]
+                if (rank := rank_of(piece[a:further])) is not None:
+                    push(heap, (rank, a, stop, further))
+            left = before[a]
+            if left >= 0 and (rank := rank_of(piece[left:stop])) is not None:
+                push(heap, (rank, left, a, stop))
         ids, a = [], 0
         while a < n:
-            if (rank := self.hash.get(piece[a : end[a]])) < 0:
+            if (rank := rank_of(piece[a : end[a]])) is None:
                 raise ValueError(f"no rank for the byte {piece[a]}")
             ids.append(rank)
             a = end[a]
@@ -136,25 +133,37 @@ class Encoder:
     def __init__(self, codec: Codec, pattern: str):
         import regex
 
-        self.codec, self.split, self.known = codec, regex.compile(pattern).findall, {}
+        self.codec, self.split = codec, regex.compile(pattern).findall
+        self.parts: dict[str, tuple] = {}  # of pre-tokens
+        self.known: dict[str, tuple | None] = {}  # of a space and a word
+
+    def _part(self, piece: str) -> tuple[str, bytes]:
+        found = self.parts.get(piece)
+        if found is None:
+            ids = self.codec.word(piece.encode())
+            found = self.parts[piece] = (" ".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids))
+        return found
 
     def span(self, text: str) -> list[int]:
-        return [i for piece in self.split(text) for i in self.codec.word(piece.encode())]
+        return np.frombuffer(b"".join([self._part(p)[1] for p in self.split(text)]), "<u4").tolist()
 
     def _learn(self, word: str) -> tuple | None:
         """Ids of a space and ``word``; None where the split at that space may matter."""
-        ids = None if not word or word[0].isspace() or word[-1].isspace() else self.span(" " + word)
-        return None if ids is None else (" ".join(map(str, ids)), np.asarray(ids, "<u4").tobytes())
+        if not word or word[0].isspace() or word[-1].isspace():
+            return None
+        found = [self._part(p) for p in self.split(" " + word)]
+        return found[0] if len(found) == 1 else (" ".join([x for x, _ in found]), b"".join([x for _, x in found]))
 
     def __call__(self, text: str) -> tuple[str, list[int]]:
         """The ids as decimal numbers joined by a space, and as a list."""
         first, *words = text.split(" ")
         known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
         for w in words:
             if w not in known:
-                if len(known) >= REMEMBERED:
-                    known = self.known = {}
-                    return self(text) if len(set(words)) < REMEMBERED else self._whole(text)
                 known[w] = self._learn(w)
         found = [known[w] for w in words]
         if None in found or first and first[-1].isspace():
