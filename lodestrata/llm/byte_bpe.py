@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import python_ready, table
 
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Bits of a place in a pre-token.
+PLACE = 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -98,25 +100,32 @@ class Codec:
         return [whole] if whole >= 0 else self.merged(piece)
 
     def merged(self, piece: bytes) -> list[int]:
-        """The heap holds (rank, start, middle, end) of neighbours whose joined bytes are a token."""
+        """The heap holds rank and start, in one number, of neighbours whose joined bytes are a token."""
         n, rank_of, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
-        end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged into another
+        end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
-        heap = [(rank, a, a + 1, a + 2) for a in range(n - 1) if (rank := rank_of(piece[a : a + 2])) is not None]
+        pair = [rank_of(piece[a : a + 2], -1) for a in range(n - 1)]  # rank of a part and the next one, or -1
+        pair.append(-1)
+        heap = [rank << PLACE | a for a, rank in enumerate(pair) if rank >= 0]
         heapq.heapify(heap)
         while heap:
-            _, a, b, stop = pop(heap)
-            if end[a] != b or end[b] != stop:
+            top = pop(heap)
+            a = top & (1 << PLACE) - 1
+            if pair[a] != top >> PLACE:
                 continue  # one of the two parts has been merged meanwhile
-            end[b], end[a] = 0, stop
+            b = end[a]
+            stop = end[a] = end[b]
+            pair[a] = pair[b] = -1
             if stop < n:
                 before[stop] = a
-                further = end[stop]
-                if (rank := rank_of(piece[a:further])) is not None:
-                    push(heap, (rank, a, stop, further))
+                rank = pair[a] = rank_of(piece[a : end[stop]], -1)
+                if rank >= 0:
+                    push(heap, rank << PLACE | a)
             left = before[a]
-            if left >= 0 and (rank := rank_of(piece[left:stop])) is not None:
-                push(heap, (rank, left, a, stop))
+            if left >= 0:
+                rank = pair[left] = rank_of(piece[left:stop], -1)
+                if rank >= 0:
+                    push(heap, rank << PLACE | left)
         ids, a = [], 0
         while a < n:
             if (rank := rank_of(piece[a : end[a]])) is None:
