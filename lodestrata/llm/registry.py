@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.llm.byte_bpe import op8_byte_bpe
 from lodestrata.llm.media import op10_media
+from lodestrata.llm.ngram_join import op3_ngram_join
 from lodestrata.llm.packing import op1_packing
 from lodestrata.llm.pii import op5_pii
 from lodestrata.llm.secret_scan import op7_secret_scan
@@ -19,6 +20,7 @@ from lodestrata.llm.toxicity import op6_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op3_ngram_join": op3_ngram_join,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
         "op6_toxicity": op6_toxicity,
