@@ -236,5 +236,33 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def _with_sets(words: int, text_at: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for rows in batches:
+            sets = [shingle(t or "") for t in rows.column(0).field(text_at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["was", "sig", "n"])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs``, all columns, with one row of each group of linked rows: one with the least doc_id. Rows without a
+    word all stay."""
+    columns = docs.columns
+    found, labels = classes(docs, words, percent)
+    least = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
+    least = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    first = least.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best"))
+    first = cut(first.select(F.col("best.sig").alias("sig"), F.col("best.doc_id").alias("best")))
+    held = docs.select(F.struct(*columns).alias("was"))
+    schema = held.withColumns({"sig": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).schema
+    rows = held.mapInArrow(_with_sets(words, columns.index("text")), schema)
+    kept = rows.where("n > 0").join(first, "sig").where(F.col("was.doc_id").cast("long").eqNullSafe(F.col("best")))
+    kept = kept.groupBy("sig").agg(F.first("was").alias("was")).select("was")
+    out = kept.union(rows.where("n = 0").select("was"))
+    return out.select(*(F.col("was")[c].alias(c) for c in columns))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))

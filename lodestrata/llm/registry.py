@@ -13,6 +13,7 @@ from lodestrata.llm.packing import op1_packing
 from lodestrata.llm.pii import op5_pii
 from lodestrata.llm.secret_scan import op7_secret_scan
 from lodestrata.llm.sharding import op4_sharding
+from lodestrata.llm.suffix_dedup import op2_suffix_dedup
 from lodestrata.llm.topk import OP9_SQL, op9_topk
 from lodestrata.llm.toxicity import op6_toxicity
 
@@ -20,6 +21,7 @@ from lodestrata.llm.toxicity import op6_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_ngram_join": op3_ngram_join,
         "op4_sharding": op4_sharding,
         "op5_pii": op5_pii,
