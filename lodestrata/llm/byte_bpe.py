@@ -69,7 +69,7 @@ class PerfectHash:
                 taken[s], self.keys[s], self.index[s] = 1, keys[i], i
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 32) + d * ((h >> 80) | 1)) % self.n
+        return ((h >> 32) + d * (h >> 80) + d * (d + 1) // 2) % self.n
 
     def get(self, key: bytes) -> int:
         """The number of ``key`` among the keys given, or -1."""
