@@ -85,7 +85,7 @@ def test_redaction(spark):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == len(HARD)
     text = {r["doc_id"]: r["text"] for r in out.where("doc_id is not null").collect()}
-    assert text[10].startswith("[EMAIL] [PHONE] [CARD] [IP] password") and text[1] is None and text[2] == ""
+    assert text[10].startswith("[EMAIL] [PHONE], [CARD], [IP] password") and text[1] is None and text[2] == ""
 
 
 def test_ledger_scans_only_new_pairs(spark, documents):
