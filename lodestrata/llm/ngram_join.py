@@ -38,6 +38,8 @@ from lodestrata.llm.shingles import Shingler, signature
 
 WORDS, PERCENT = 4, 85
 DEPTH, LEADERS, LIMIT = 8, 4, 2000
+#: Regions of more members get other leaders, twice as many each time, before the members meet one by one.
+WIDE, TURNS = 128, 5
 #: One document in so many is looked at for frequent shingles; a shingle in so many of these is frequent.
 SAMPLE, SEEN, FREQUENT = 32, 3, 100_000
 BITMAP = 1 << 24
@@ -134,6 +136,18 @@ def _whole(words: int, wanted):
     return run
 
 
+def _only(wanted):
+    """The rows whose signature the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        for rows in batches:
+            sig = rows.column(0).to_numpy(zero_copy_only=False)
+            yield rows.filter(pa.array(bits[sig % BITMAP] > 0))
+
+    return run
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -199,27 +213,42 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
         return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("a", "b")
 
     def links(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("sig").alias("a"), F.col("s").alias("s_a"))
-        two = sets.select(F.col("sig").alias("b"), F.col("s").alias("s_b"))
+        named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+        needed = spark.sparkContext.broadcast(_bitmap(named))
+        own = sets.mapInArrow(_only(needed), "sig long, s binary")
+        one = own.select(F.col("sig").alias("a"), F.col("s").alias("s_a"))
+        two = own.select(F.col("sig").alias("b"), F.col("s").alias("s_b"))
         return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b").mapInArrow(_linked(percent), "a long, b long"))
 
     # the leaders of each region against its members
     lead = cells.where(F.col("place") <= LEADERS).alias("x")
     tried = cut(meeting(lead, cells.alias("y"), F.col("x.place") < F.col("y.place")))
-    near = links(tried)
-    labels = components(near)
+    edges = links(tried)
+    labels = components(edges)
+    for turn in range(1, TURNS + 1):
+        # regions that hold several components still
+        marked = cut(cells.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("pivot", "sig", "n", "q", "depth", F.coalesce("label", "sig").alias("label")))
+        parts = marked.groupBy("pivot", "label").agg(F.count("*").alias("n"))
+        several = parts.groupBy("pivot").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1")
+        several = cut(several.select("pivot", "members", F.col("most.label").alias("largest")))
+        wide = several.where(F.col("members") > WIDE)
+        if turn == TURNS or not wide.limit(1).count():
+            break
+        # other leaders for the wide ones, more each time
+        order = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
+        again = cut(marked.join(wide.select("pivot"), "pivot").withColumn("place", order))
+        lead = again.where(F.col("place") <= LEADERS << turn).alias("x")
+        fresh = cut(meeting(lead, again.alias("y"), (F.col("x.label") != F.col("y.label")) & (F.col("x.place") < F.col("y.place"))).join(tried, ["a", "b"], "left_anti"))
+        tried = cut(tried.union(fresh))
+        edges = cut(edges.union(links(fresh)))
+        labels = components(edges)
     # members of different components: all but a region's largest against all
-    marked = cells.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("pivot", "sig", "n", "q", "depth", F.coalesce("label", "sig").alias("label"))
-    marked = cut(marked)
-    parts = marked.groupBy("pivot", "label").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("pivot").agg(F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1")
-    largest = cut(largest.select("pivot", F.col("most.label").alias("largest")))
-    open_ = cut(marked.join(largest, "pivot"))
+    open_ = cut(marked.join(several.select("pivot", "largest"), "pivot"))
     apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.sig") < F.col("y.sig")))
-    rest = meeting(open_.where("label <> largest").alias("x"), open_.alias("y"), apart).join(tried, ["a", "b"], "left_anti")
-    further = links(cut(rest))
+    rest = cut(meeting(open_.where("label <> largest").alias("x"), open_.alias("y"), apart).join(tried, ["a", "b"], "left_anti"))
+    further = links(rest)
     if further.limit(1).count():
-        labels = components(near.union(further))
+        labels = components(edges.union(further))
     return rows.mapInArrow(_sets(words), "doc_id long, sig long, n long"), labels
 
 

@@ -170,14 +170,14 @@ def test_large_regions(spark, monkeypatch):
     random.seed(6)
     base = [f"w{random.randint(0, 400)}" for _ in range(60)]
     rows = []
-    for i in range(120):
+    for i in range(60):
         own = list(base)
         for _ in range(random.randint(0, 3)):
             own[random.randrange(60)] = f"x{random.randint(0, 9)}"
         rows.append((i, " ".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect())
-    for name, value in (("LIMIT", 10), ("LEADERS", 1)):
+    for name, value in (("LIMIT", 10), ("LEADERS", 1), ("WIDE", 3), ("TURNS", 2)):
         monkeypatch.setattr(ngram_join, name, value)
     assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()) == want
 
