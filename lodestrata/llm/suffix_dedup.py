@@ -55,7 +55,7 @@ def gram_hashes(raw: np.ndarray) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a text's windows, given the ascending hashes of frequent k-grams."""
+    """Anchors of the windows of many texts at once, given the ascending hashes of frequent k-grams."""
 
     def __init__(self, size: int, frequent: np.ndarray):
         if size < 2 * GRAM:
@@ -63,35 +63,55 @@ class Anchors:
         self.size, self.span, self.frequent = size, size - GRAM + 1, frequent
         self.bits = np.uint64(4 if self.span >= 256 else 3)
 
-    def candidates(self, h: np.ndarray) -> np.ndarray:
-        """Places that may be anchors: one in 8 or 16 by hash, and all where a window would have none."""
-        chosen = h >> (np.uint64(64) - self.bits) == 0
-        at = np.flatnonzero(chosen)
-        edge = np.concatenate([[-1], at, [len(h)]])
+    def candidates(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of all places of the joined texts, the places that may be anchors (one in 8 or 16 by hash, and all
+        where a window would have none), and where each text starts."""
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        h = gram_hashes(np.frombuffer(b"".join(texts), np.uint8))
+        valid = np.ones(len(h), bool)  # not across two texts
+        over = (ends[:, None] - np.arange(1, GRAM)).reshape(-1)
+        valid[over[over < len(h)]] = False
+        chosen = (h >> (np.uint64(64) - self.bits) == 0) & valid
+        edge = np.sort(np.concatenate([np.flatnonzero(chosen), starts - 1, ends - GRAM + 1]))
         for g in np.flatnonzero(np.diff(edge) > self.span):
-            chosen[edge[g] + 1 : edge[g + 1]] = True
-        return np.flatnonzero(chosen)
-
-    def __call__(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hash and place of each anchor, and the first and last window that names it."""
-        n, span = len(raw), self.span
-        none = np.zeros(0, np.int64)
-        if n < self.size:
-            return none.astype(np.uint64), none, none, none
-        h = gram_hashes(raw)
-        at = self.candidates(h)
+            chosen[edge[g] + 1 : edge[g + 1]] = valid[edge[g] + 1 : edge[g + 1]]
+        return h, np.flatnonzero(chosen), starts
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text, hash and place of each anchor, and the first and last window that names it. All texts have ``size`` bytes."""
+        h, at, starts = self.candidates(texts)
+        of = np.searchsorted(starts, at, side="right") - 1
         own = h[at]
         rank = mixed(own) >> np.uint64(2)
         rank |= (own >> (np.uint64(64) - self.bits) != 0).astype(np.uint64) << np.uint64(63)
         if len(self.frequent):
             near = np.minimum(np.searchsorted(self.frequent, own), len(self.frequent) - 1)
             rank |= (self.frequent[near] == own).astype(np.uint64) << np.uint64(62)
-        before = self._nearest(at, rank, -1)
-        after = self._nearest(at, rank, 1)
-        first = np.maximum(np.maximum(before + 1, at - span + 1), 0)
-        last = np.minimum(np.minimum(after - span, at), n - self.size)
+        apart = 2 * self.span  # between the places of two texts
+        wide = at + of * apart
+        before, after = self._nearest(wide, rank, -1), self._nearest(wide, rank, 1)
+        shift = starts[of] + of * apart
+        lengths = np.array([len(t) for t in texts], np.int64)[of]
+        first = np.maximum(np.maximum(before + 1, wide - self.span + 1) - shift, 0)
+        last = np.minimum(np.minimum(after - self.span, wide) - shift, lengths - self.size)
         keep = first <= last
-        return own[keep], at[keep], first[keep], last[keep]
+        return of[keep], own[keep], (at - starts[of])[keep], first[keep], last[keep]
+
+    def batches(self, texts) -> Iterator[list[bytes]]:
+        """The distinct texts of ``size`` bytes or more, some megabytes at a time."""
+        held, total = [], 0
+        for text in dict.fromkeys(texts):
+            raw = text.encode()
+            if len(raw) >= self.size:
+                held.append(raw)
+                total += len(raw)
+                if total > 2 << 20:
+                    yield held
+                    held, total = [], 0
+        if held:
+            yield held
 
     def _nearest(self, at: np.ndarray, rank: np.ndarray, way: int) -> np.ndarray:
         """The nearest place to the left that ranks no higher, or to the right that ranks lower, within a window."""
@@ -187,11 +207,11 @@ def _sampled(size: int):
         anchors = Anchors(size, np.zeros(0, np.uint64))
         for rows in batches:
             found = [np.zeros(0, np.int64)]
-            for text in rows.column(0).to_pylist():
-                raw = _raw(text)
-                if len(raw) >= size:
-                    h = gram_hashes(raw)
-                    found.append(_signed(np.unique(h[anchors.candidates(h)])))
+            for texts in anchors.batches(rows.column(0).to_pylist()):
+                h, at, starts = anchors.candidates(texts)
+                of = np.searchsorted(starts, at, side="right")
+                pairs = np.unique(np.stack([of.astype(np.uint64), h[at]], 1), axis=0)  # once a text
+                found.append(_signed(np.ascontiguousarray(pairs[:, 1])))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["h"])
 
     return run
@@ -204,8 +224,8 @@ def _counted(size: int, frequent):
         anchors = Anchors(size, frequent.value)
         for rows in batches:
             found = [np.zeros(0, np.uint64)]
-            for text in set(rows.column(0).to_pylist()):
-                found.append(anchors(_raw(text))[0])
+            for texts in anchors.batches(rows.column(0).to_pylist()):
+                found.append(anchors(texts)[1])
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(_signed(h), pa.int64()), pa.array(n, pa.int64())], names=["h", "n"])
 
@@ -228,20 +248,18 @@ def _segments(size: int, frequent, again, with_bytes: bool):
         for rows in batches:
             held: dict[tuple, int] = {}
             places: list[tuple] = []
-            for text in set(rows.column(0).to_pylist()):
-                raw = _raw(text)
-                h, at, first, last = anchors(raw)
+            for texts in anchors.batches(rows.column(0).to_pylist()):
+                of, h, at, first, last = anchors(texts)
                 keep = bits[(h & mask).astype(np.int64)] > 0
-                if not keep.any():
-                    continue
-                data = raw.tobytes()
-                digest = None if with_bytes else hashlib.sha256(data).hexdigest()
-                for x, p, a, b in zip(_signed(h[keep]).tolist(), at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
-                    segment = data[a : b + size]
+                digests: dict[int, str] = {}
+                for d, x, p, a, b in zip(of[keep].tolist(), _signed(h[keep]).tolist(), at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
+                    segment = texts[d][a : b + size]
                     if with_bytes:
                         held[x, p - a, segment] = held.get((x, p - a, segment), 0) + 1
                     else:
-                        places.append((x, _key(segment), digest, a))
+                        if d not in digests:
+                            digests[d] = hashlib.sha256(texts[d]).hexdigest()
+                        places.append((x, _key(segment), digests[d], a))
             if with_bytes:
                 columns = [[k[0] for k in held], [k[1] for k in held], [k[2] for k in held], list(held.values())]
                 kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64()]
