@@ -265,31 +265,40 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _with_sets(words: int, text_at: int):
+def _with_sets(words: int, text_at: int, wanted):
+    """Each row with its set's signature, and whether the bitmap holds it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(words)
+        shingle, bits = Shingler(words), np.unpackbits(np.frombuffer(wanted.value, np.uint8))
         for rows in batches:
-            sets = [shingle(t or "") for t in rows.column(0).field(text_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["was", "sig", "n"])
+            sigs, hits = [], []
+            for text in rows.column(0).field(text_at).to_pylist():
+                s = shingle(text or "")
+                sigs.append(signature(s))
+                hits.append(bool(len(s) and bits[sigs[-1] % BITMAP]))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigs, pa.int64()), pa.array(hits, pa.bool_())], names=["was", "sig", "hit"])
 
     return run
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one row of each group of linked rows: one with the least doc_id. Rows without a
-    word all stay."""
-    columns = docs.columns
+    word all stay. Only rows of groups (and the few that the bitmap can't tell from them) are shuffled."""
+    spark, columns = docs.sparkSession, docs.columns
     found, labels = classes(docs, words, percent)
-    least = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    least = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    first = least.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best"))
-    first = cut(first.select(F.col("best.sig").alias("sig"), F.col("best.doc_id").alias("best")))
+    least = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    least = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").where("label is not null or copies > 1")
+    least = cut(least.withColumn("label", F.coalesce("label", "sig")).drop("copies"))
+    first = cut(least.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best")))
+    decided = cut(least.join(first, "label").select("sig", (F.col("sig") == F.col("best.sig")).alias("chosen"), F.col("best.doc_id").alias("best")))
     held = docs.select(F.struct(*columns).alias("was"))
-    schema = held.withColumns({"sig": F.lit(0).cast("long"), "n": F.lit(0).cast("long")}).schema
-    rows = held.mapInArrow(_with_sets(words, columns.index("text")), schema)
-    kept = rows.where("n > 0").join(first, "sig").where(F.col("was.doc_id").cast("long").eqNullSafe(F.col("best")))
-    kept = kept.groupBy("sig").agg(F.first("was").alias("was")).select("was")
-    out = kept.union(rows.where("n = 0").select("was"))
+    schema = held.withColumns({"sig": F.lit(0).cast("long"), "hit": F.lit(True)}).schema
+    rows = held.mapInArrow(_with_sets(words, columns.index("text"), spark.sparkContext.broadcast(_bitmap(decided))), schema)
+    grouped = rows.where("hit").join(decided, "sig", "left")
+    grouped = grouped.where(F.col("chosen").isNull() | (F.col("chosen") & F.col("was.doc_id").cast("long").eqNullSafe(F.col("best"))))
+    alone = F.when(F.col("chosen").isNull(), F.monotonically_increasing_id())
+    kept = grouped.withColumn("alone", alone).groupBy("sig", "alone").agg(F.first("was").alias("was")).select("was")
+    out = rows.where(~F.col("hit")).select("was").union(kept)
     return out.select(*(F.col("was")[c].alias(c) for c in columns))
 
 
