@@ -51,3 +51,30 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def _packed_bits(batches):
+    import numpy as np
+    import pandas as pd
+
+    for rows in batches:
+        parts = []
+        for bits in rows["bits"]:
+            own = np.zeros(8192, np.uint8)
+            own[np.asarray(bits, np.int64)] = 1
+            parts.append(np.packbits(own).tobytes())
+        yield pd.DataFrame({"part": rows["part"], "packed": parts})
+
+
+def bitmap(numbers: DataFrame, column, size: int) -> bytes:
+    """A bitmap of ``size`` bits (a multiple of 8192) with the bit of each value of ``column``, modulo size, set.
+
+    It names all values and perhaps others. The executors pack it, so the driver gets size / 8 bytes at most.
+    """
+    place = F.pmod(column, F.lit(size))
+    parts = numbers.select((place / 8192).cast("int").alias("part"), (place % 8192).cast("int").alias("bit"))
+    packed = parts.groupBy("part").agg(F.collect_set("bit").alias("bits")).mapInPandas(_packed_bits, "part int, packed binary")
+    out = bytearray(size // 8)
+    for r in packed.collect():
+        out[r["part"] * 1024 : (r["part"] + 1) * 1024] = r["packed"]
+    return bytes(out)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, python_ready, table
+from lodestrata.llm.common import bitmap, cut, python_ready, table
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import Shingler, signature
 
@@ -170,14 +170,7 @@ def _size_fits(n: Column, m: Column, percent: int) -> Column:
 
 
 def _bitmap(sigs: DataFrame) -> bytes:
-    """A bitmap of fixed size (2 MB) with a bit for each signature; it may hold more, never less."""
-    place = F.pmod(F.col("sig"), F.lit(BITMAP))
-    parts = sigs.select((place / 8192).cast("int").alias("part"), (place % 8192).cast("int").alias("bit")).distinct()
-    rows = parts.groupBy("part").agg(F.collect_set("bit").alias("bits")).collect()  # at most BITMAP numbers
-    out = np.zeros(BITMAP, np.uint8)
-    for r in rows:
-        out[r["part"] * 8192 + np.array(r["bits"], np.int64)] = 1
-    return np.packbits(out).tobytes()
+    return bitmap(sigs, F.col("sig"), BITMAP)
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, python_ready, table
+from lodestrata.llm.common import bitmap, cut, python_ready, table
 from lodestrata.llm.shingles import mixed
 
 SIZE, GRAM = 400, 32
@@ -362,29 +362,9 @@ def _named(wanted):
     return run
 
 
-def _packed_bits(batches: Iterator) -> Iterator:
-    import pandas as pd
-
-    for rows in batches:
-        parts = []
-        for bits in rows["bits"]:
-            own = np.zeros(8192, np.uint8)
-            own[np.asarray(bits, np.int64)] = 1
-            parts.append(np.packbits(own).tobytes())
-        yield pd.DataFrame({"part": rows["part"], "packed": parts})
-
-
-def bitmap(numbers: DataFrame, column: Column, rows: int) -> bytes:
-    """A bitmap with a bit for each value of ``column`` (not negative) modulo its size, 16 bits a row within bounds of
-    128 KB and 32 MB; packed by the executors."""
-    size = 1 << max(LEAST_BITS, min(MOST_BITS, (16 * max(1, rows) - 1).bit_length()))
-    place = F.pmod(column, F.lit(size))
-    parts = numbers.select((place / 8192).cast("int").alias("part"), (place % 8192).cast("int").alias("bit"))
-    packed = parts.groupBy("part").agg(F.collect_set("bit").alias("bits")).mapInPandas(_packed_bits, "part int, packed binary")
-    out = bytearray(size // 8)
-    for r in packed.toLocalIterator():
-        out[r["part"] * 1024 : (r["part"] + 1) * 1024] = r["packed"]
-    return bytes(out)
+def _bits(rows: int) -> int:
+    """Bits of a bitmap for so many rows: 16 a row, within 128 KB and 32 MB."""
+    return 1 << max(LEAST_BITS, min(MOST_BITS, (16 * max(1, rows) - 1).bit_length()))
 
 
 def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
@@ -400,7 +380,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
 
     counts = texts.mapInArrow(_counted(size, frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     again = cut(counts.where("n > 1").select("h"))
-    bits = spark.sparkContext.broadcast(bitmap(again, F.col("h").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), again.count()))
+    bits = spark.sparkContext.broadcast(bitmap(again, F.col("h").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), _bits(again.count())))
     segments = texts.mapInArrow(_segments(size, frequent, bits, True), "h long, anchor int, segment binary, n long")
     # groups of very many segments are dealt out by what stands right and left of the anchor
     many = counts.where(F.col("n") > LARGE).select("h").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
@@ -423,7 +403,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     empty = "array<struct<low:bigint,high:bigint>>"
     whole = several.select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))).cast(empty).alias("removed"))
     spans = cut(spans.join(several.select("digest"), "digest", "left_anti"))
-    wanted = spark.sparkContext.broadcast(bitmap(spans, F.conv(F.substring("digest", 1, 14), 16, 10).cast("long"), spans.count()))
+    wanted = spark.sparkContext.broadcast(bitmap(spans, F.conv(F.substring("digest", 1, 14), 16, 10).cast("long"), _bits(spans.count())))
     named = texts.mapInArrow(_named(wanted), "digest string, text string")
     parts = named.groupBy("digest").agg(F.first("text").alias("text")).join(spans, "digest").select("digest", "text", "spans")
     partly = parts.mapInArrow(_kept(size), f"digest string, n_removed long, n_spans long, kept_sha256 string, removed {empty}")
