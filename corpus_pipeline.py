@@ -14,7 +14,7 @@ from lodestrata.llm.ngram_join import one_of_each
 from lodestrata.llm.packing import pack
 from lodestrata.llm.pii import redact
 from lodestrata.llm.suffix_dedup import dedup
-from lodestrata.llm.toxicity import fit, scored
+from lodestrata.llm.toxicity import scored
 
 #: Near duplicates: words of a shingle and percent of the union.
 WORDS, PERCENT = 5, 80
@@ -31,8 +31,7 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the class models don't call toxic."""
-    model = fit(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, model).where(F.col("_score") < 0.5).drop("_score")
+    return scored(docs, table(spark, sf_dir, "labels")).where(F.col("_score") < 0.5).drop("_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

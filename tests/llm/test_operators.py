@@ -125,6 +125,26 @@ def test_toxicity_on_held_out_rows(spark, documents, tmp_path):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_toxicity_counts_rare_expressions(spark):
+    # each word stands in one or two texts, far under any threshold of evidence
+    rows = [(i, f"common w{chr(97 + i % 26)}{chr(97 + i // 26)}x common tail") for i in range(200)] + [(1000, "common wbax common tail"), (1001, "common never common tail")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i % 2 == 0), 1) for i in range(200)], "doc_id long, toxic int, fold int")
+    model = toxicity.fit(docs, marked)
+    keys = {r["key"] % (1 << 64): (r["n1"], r["n0"]) for r in model.pairs.collect()}
+    hashes, want = toxicity.Hashes(), {}
+    for i, text in rows[:200]:
+        ws = ["", *toxicity.words_of(text)]
+        for v, w in zip(ws, ws[1:], strict=False):
+            ids = [np.array([hashes[x] if x else toxicity.START], np.uint64) for x in (v, w)]
+            own = want.setdefault(int(toxicity.pair_keys(*ids)[0]), [0, 0])
+            own[i % 2] += 1
+    assert keys == {k: tuple(v) for k, v in want.items()}
+    found = {r["doc_id"]: r["_difference"] for group in (1 << 20, 500) for r in toxicity.differences(docs, model, group).collect()}
+    assert len(found) == len(rows) and all((found[i] > found[1001]) == (i % 2 == 0) for i in range(200))
+    assert abs(found[1000] - found[1]) < 1e-9
+
+
 def test_toxicity_on_hard_rows(spark, documents):
     folder = documents([(*r, *CLASHES) for r in HARD], CLASHING)
     spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
