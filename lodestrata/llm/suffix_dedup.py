@@ -10,11 +10,13 @@ inserts one symbol of every segment in front of the last ones, which permutes th
 Burrows-Wheeler column, and updates the common prefixes of neighbours (one more than the least between them if
 their symbols agree, else none). As matching windows stand at the same column, the order kept is that of the
 column's own suffixes. A window is repeated if a neighbour in the order shares ``size`` symbols. The columns
-of a batch are read one after the other; a batch is bounded, so they stay in memory instead of external files.
+of a batch are read one after the other; a batch holds at most ``BATCH`` + ``LARGE`` segments, so they stay in memory
+instead of external files.
 
 Anchors are counted over all documents; a bitmap of bounded size tells the later passes which occur again (it may
 name too many, never too few). Texts that are equal as a whole are one until the end. A group of over ``LARGE``
-segments is dealt out twice, by the bytes right and left of the anchor, one of which any two equal windows share.
+segments is never held: its windows are counted by a 128-bit hash, in sums that any task can begin, once the stretches of
+windows (``STRETCHES`` of a segment) whose common bytes stand in no other segment are left out.
 Nothing is gathered by document but its own removed places.
 
 Defined results: a null text counts as empty; texts under ``size`` bytes are left as they are; null doc_ids and
@@ -37,8 +39,8 @@ from lodestrata.llm.shingles import mixed
 SIZE, GRAM = 400, 32
 #: One document in so many is looked at for frequent anchors; so many sightings make one frequent.
 SAMPLE, SEEN, FREQUENT = 32, 6, 100_000
-#: Segments of a batch, and distinct segments above which a group is dealt out anew.
-BATCH, LARGE = 6000, 20_000
+#: Segments at which a batch ends with the group, segments above which a group's windows are counted, and stretches.
+BATCH, LARGE, STRETCHES = 6000, 20_000, 8
 LEAST_BITS, MOST_BITS = 20, 28
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -324,6 +326,80 @@ def _built(size: int):
     return run
 
 
+def _stretches(segment: bytes, anchor: int, h: int, size: int) -> Iterator[tuple[int, int, int]]:
+    """A hash of the bytes that all windows of a stretch share, and the first and last of its windows in the segment."""
+    import xxhash
+
+    span = size - GRAM + 1
+    least, most = anchor - (len(segment) - size), anchor  # of the windows' distances to the anchor
+    for j in range(STRETCHES):
+        low, high = -(-j * span // STRETCHES), -(-(j + 1) * span // STRETCHES) - 1
+        if max(low, least) <= min(high, most):
+            x = xxhash.xxh3_64_intdigest(segment[anchor - low : anchor + size - high], seed=(h + j) % (1 << 64))
+            yield x, anchor - min(high, most), anchor - max(low, least)
+
+
+def _shared(size: int):
+    """How often the common bytes of each stretch stand there. Rows are (h, anchor, segment, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            held: dict[int, int] = {}
+            for h, anchor, segment, n in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+                for x, _, _ in _stretches(segment, anchor, h, size):
+                    held[x] = held.get(x, 0) + n
+            yield pa.RecordBatch.from_arrays([_signed_array(list(held)), pa.array(list(held.values()), pa.int64())], names=["x", "n"])
+
+    return run
+
+
+def _signed_array(h: list[int]) -> pa.Array:
+    return pa.array(_signed(np.array(h, np.uint64)), pa.int64())
+
+
+def _windows(size: int, live):
+    """Hash of each window in the stretches that the bitmap holds, with its segment and start there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(live.value, np.uint8))
+        kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
+        for rows in batches:
+            for h, anchor, segment, n in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
+                starts = [i for x, a, b in _stretches(segment, anchor, h, size) if bits[x % len(bits)] for i in range(a, b + 1)]
+                if starts:
+                    m = len(starts)
+                    columns = [[_key(segment[i : i + size]) for i in starts], [h] * m, [_key(segment)] * m, starts, [n] * m]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["window", "h", "key", "at", "n"])
+
+    return run
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of the starts of each segment. Rows are (h, key, starts)."""
+    kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
+    for rows in batches:
+        out = []
+        for h, key, starts in zip(*(rows.column(i).to_pylist() for i in range(3)), strict=True):
+            flags = np.zeros(max(starts) + 1, bool)
+            flags[starts] = True
+            out += [(h, key, a, b) for a, b in ranges_of(flags)]
+        columns = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["h", "key", "low", "high"])
+
+
+def counted_ranges(segments: DataFrame, size: int) -> DataFrame:
+    """What ``_built`` finds, for groups of any size: nothing but single segments and sums is held."""
+    spark = segments.sparkSession
+    segments = cut(segments.groupBy("h", "anchor", "segment").agg(F.sum("n").alias("n")))
+    shared = segments.mapInArrow(_shared(size), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    live = cut(shared.where("n > 1").select("x"))
+    bits = spark.sparkContext.broadcast(bitmap(live, F.col("x").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), _bits(live.count())))
+    windows = segments.mapInArrow(_windows(size, bits), "window binary, h long, key binary, at int, n long")
+    again = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
+    starts = windows.join(again, "window").groupBy("h", "key").agg(F.collect_set("at").alias("starts"))  # under ``size`` each
+    return starts.mapInArrow(_runs, "h long, key binary, low int, high int")
+
+
 def _kept(size: int):
     """What is left of each text (digest, text, ranges of repeated windows): numbers, digest and removed spans."""
 
@@ -382,16 +458,12 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     again = cut(counts.where("n > 1").select("h"))
     bits = spark.sparkContext.broadcast(bitmap(again, F.col("h").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), _bits(again.count())))
     segments = texts.mapInArrow(_segments(size, frequent, bits, True), "h long, anchor int, segment binary, n long")
-    # groups of very many segments are dealt out by what stands right and left of the anchor
-    many = counts.where(F.col("n") > LARGE).select("h").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    half = (size - GRAM) // 2
-    right = F.xxhash64("h", F.lit(1), F.expr(f"substring(segment, anchor + {GRAM + 1}, {half})"))
-    left = F.xxhash64("h", F.lit(2), F.expr(f"substring(segment, greatest(anchor - {half}, 0) + 1, least(anchor, {half}))"))
-    keys = F.array("h")
-    if many:
-        keys = F.when(F.col("h").isin([r["h"] for r in many]), F.array(right, left)).otherwise(keys)
-    grouped = segments.select(F.explode(keys).alias("key"), "h", "anchor", "segment", "n")
+    many = [r["h"] for r in counts.where(F.col("n") > LARGE).select("h").collect()]  # one in LARGE places at most
+    small = segments.where(~F.col("h").isin(many)) if many else segments
+    grouped = small.select(F.col("h").alias("key"), "h", "anchor", "segment", "n")
     ranges = grouped.repartition("key").sortWithinPartitions("key", "anchor", "segment").mapInArrow(_built(size), "h long, key binary, low int, high int")
+    if many:
+        ranges = ranges.union(counted_ranges(segments.where(F.col("h").isin(many)), size))
     ranges = cut(ranges.distinct())
     places = texts.mapInArrow(_segments(size, frequent, bits, False), "h long, key binary, digest string, start long")
     spans = places.join(ranges, ["h", "key"]).select("digest", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))

@@ -230,6 +230,33 @@ def test_columnwise_order_on_large_groups(spark, monkeypatch):
         assert got.get(hashlib.sha256(t.encode()).hexdigest(), 0) == int(gone.sum())
 
 
+def test_no_task_holds_a_group_over_the_bound(spark, monkeypatch):
+    built = suffix_dedup._built
+
+    def bounded(size):
+        def run(batches):
+            held = {}
+            for rows in batches:
+                for key in rows.column(0).to_pylist():
+                    held[key] = held.get(key, 0) + 1
+                    assert held[key] <= 3
+                yield from build(iter([rows]))
+
+        build = built(size)
+        return run
+
+    monkeypatch.setattr(suffix_dedup, "LARGE", 3)
+    monkeypatch.setattr(suffix_dedup, "_built", bounded)
+    random.seed(8)
+    word = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    passage = word(400)  # with other bytes before and after it in each text
+    texts = [word(400 + i) + chr(65 + i) + passage + chr(65 + i) + word(300) for i in range(30)] + [word(900) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    _, found = suffix_dedup.removed_spans(docs)
+    got = {r["digest"]: [tuple(x) for x in r["removed"]] for r in found.collect()}
+    assert got == {hashlib.sha256(t.encode()).hexdigest(): [(401 + i, 801 + i)] for i, t in enumerate(texts[:30])}
+
+
 @settings(max_examples=25, deadline=None)
 @given(st.lists(st.binary(min_size=1, max_size=3000), min_size=1, max_size=5))
 def test_webp_round_trip(payloads):
