@@ -5,15 +5,16 @@ blocks of their own, and each pair of blocks is a task. There both sides are ind
 splits a node's points into groups around separated centres of half the radius, with the true covering radius
 kept), and node pairs are visited together, the most promising first. A pair is left out when the centres' inner
 product plus what the covering radii can add is below the worst k-th score of the queries in the group. Blocks' best
-lists are merged by rank. A task holds two blocks of bounded size; equal vectors are one point, whose k + 1
-smallest ids can matter to a query.
+lists are merged by rank. A task holds two blocks of bounded size; equal vectors are one point, of which a query needs
+the first 2k rows by id, an id's rows being k at most: the query's own are k of these at most.
 
 Scores are exact: coordinates are integers, and where sums could pass 2**53 they are taken in whole numbers.
 
 Defined results: a vector that is null, or holds a null or non-finite component, takes no part, nor does a null
 vec_id; vectors of different lengths count as padded with zeros; repeated query rows of one vec_id count once
-(the least vector), and a candidate that shares the query's vec_id is its own row; ties go to the smaller vec_id; an
-empty table gives no rows; other columns are ignored.
+(the least vector), and a candidate that shares the query's vec_id is its own row; candidate rows equal in vec_id and
+vector count once (OP9_SQL ranks each), rows of one vec_id with other vectors each; ties go to the smaller vec_id; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,14 +78,18 @@ def search(q: np.ndarray, x: np.ndarray, own: np.ndarray, ids: np.ndarray, k: in
     points, inverse = np.unique(x, axis=0, return_inverse=True)
     inverse = inverse.reshape(-1)
     order = np.lexsort((ids, inverse))
-    starts = np.searchsorted(inverse[order], np.arange(len(points)))
-    least = [ids[order[a:b]][: k + 1].tolist() for a, b in zip(starts, [*starts[1:], len(order)], strict=True)]
+    point, vec_id, place = inverse[order], ids[order], np.arange(len(order))
+    fresh = np.concatenate([[True], (point[1:] != point[:-1]) | (vec_id[1:] != vec_id[:-1])])
+    few = place - np.maximum.accumulate(np.where(fresh, place, 0)) < k  # the first k rows of an id
+    point, vec_id = point[few], vec_id[few]
+    starts = np.searchsorted(point, np.arange(len(points)))
+    least = [vec_id[a:b][: 2 * k].tolist() for a, b in zip(starts, [*starts[1:], len(point)], strict=True)]
     worst = np.full(len(q), -np.inf)
 
     def offer(i: int, score: int, point: int) -> None:
         mine = own[i]
         found = best[i] + [(-score, vec) for vec in least[point] if vec != mine]
-        best[i] = sorted(set(found))[:k]
+        best[i] = sorted(found)[:k]
         if len(best[i]) == k:
             worst[i] = -float(best[i][-1][0])
 
@@ -142,7 +147,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, candidate_block: i
     n, m = max(1, -(-counts["n"] // candidate_block)), max(1, -(-counts["q"] // query_block))
     queries = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     queries = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(m).cast("long"))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    others = rows.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n).cast("long"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    others = rows.distinct().withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n).cast("long"))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
     pairs = queries.groupBy("qb", "cb").cogroup(others.groupBy("qb", "cb")).applyInPandas(_blocks(k, leaf), SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

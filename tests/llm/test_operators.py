@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from hard_rows import CLASHES, CLASHING, HARD
@@ -170,6 +171,27 @@ def test_cover_tree_search_equals_brute_force():
         assert [(-s, i) for s, i in best] == want
 
 
+def test_topk_loses_no_row_to_repeated_ones(spark, tmp_path):
+    equal, other = [1.0, 2.0], [1.0, 1.0]
+    tables = {
+        "many": [(100, equal), *[(7, equal)] * 10, (8, equal), (9, equal), (50, other)],
+        "few": [(100, equal), *[(7, equal)] * 2, (3, other), (3, other), (3, [0.5, 1.25]), (50, equal)],
+        "own": [(150, other), (151, equal), (151, [3.0, 1.0]), (7, equal), (8, equal), (9, equal)],
+    }
+    for name, rows in tables.items():
+        folder = tmp_path / name
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(folder / "embeddings.parquet"))
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW embeddings AS SELECT DISTINCT * FROM '{folder}/embeddings.parquet/*.parquet'")
+        found = [tuple(r) for r in topk.op9_topk(spark, str(folder)).orderBy("query_id", "rank").collect()]
+        assert found == sorted(con.execute(topk.OP9_SQL).fetchall())
+    # the query's own rows, more than k of them, hide no others
+    x = np.array([equal] * 16)
+    ids = np.array([7] * 8 + [5] * 2 + [8, 9, 9, 9, 9, 9])
+    assert topk.search(x[:1], x, np.array([5]), ids, 5) == [[(5, 7)] * 5]
+    assert topk.search(x[:1], x, np.array([7]), ids, 5) == [[(5, 5), (5, 5), (5, 8), (5, 9), (5, 9)]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (100, 102), (103, 102), (7, 7)]
     found = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
