@@ -146,6 +146,15 @@ def test_toxicity_counts_rare_expressions(spark):
     assert abs(found[1000] - found[1]) < 1e-9
 
 
+def test_toxicity_counts_words_by_what_stands_before_them(spark):
+    texts = [f"{v} zig" for v in "abcdef"] + ["a zag"] * 6 + ["other words"] * 12
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marked = spark.createDataFrame([(i, int(i < 12), 1) for i in range(len(texts))], "doc_id long, toxic int, fold int")
+    found = {r["word"] % (1 << 64): r["p1"] for r in toxicity.fit(docs, marked).words.collect()}
+    hashes = toxicity.Hashes()
+    assert found[hashes["zig"]] > 1.01 * found[hashes["zag"]]  # equal numbers of words and texts
+
+
 def test_toxicity_on_hard_rows(spark, documents):
     folder = documents([(*r, *CLASHES) for r in HARD], CLASHING)
     spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
