@@ -37,10 +37,12 @@ CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Titles before names, in several languages.
 TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Sr", "Sra", "Mme", "Mlle")
+#: A capitalised word of any language, to its end.
+NAME = r"\p{Lu}(?=[\p{L}\p{M}'’])[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 CANDIDATE = (
     r"(?<![0-9A-Za-z+])\+?\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,24}+(?![0-9A-Za-z])"
     r"|(?<![A-Za-z0-9_@.])@[A-Za-z][A-Za-z0-9_]{2,30}+(?![A-Za-z0-9_@])"
-    rf"|(?<![A-Za-z])(?:{'|'.join(TITLES)})\.?\x20[A-Z][a-z]{{2,20}}+"
+    rf"|(?<![\p{{L}}\p{{M}}])(?:{'|'.join(TITLES)})\.?\x20{NAME}(?:\x20{NAME})*+"
 )
 CUES_FOR = r"(?i)(?:phone|mobile|tel|call|fax|contact|mail|card|account|iban|passport|name|address|born|user)[^A-Za-z0-9]{0,4}$"
 CUES_AGAINST = r"(?i)(?:page|version|isbn|issn|token|commit|sha|line|chapter|section|no|nr|id|key)[^A-Za-z0-9]{0,4}$"

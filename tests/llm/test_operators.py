@@ -108,6 +108,15 @@ def test_other_secrets(spark):
     assert [[f["k"] for f in r["findings"]] for r in sorted(found, key=lambda r: r["doc_id"])][:2] == [[3], [4]]
 
 
+def test_whole_names_are_candidates(spark):
+    names = ["Frau Schäfer", "Herr Müller", "Mme Éloise", "Mr. John Smith", "Dr O'Brien-Łukasz", "Sra Mun\u0303oz Ibáñez", "Mr Bartholomewfitzgeraldson"]
+    docs = spark.createDataFrame([(i, f"so {n} went, 'and {n}' too", n) for i, n in enumerate(names)], "doc_id long, text string, name string")
+    for r in pii.with_candidates(docs).collect():
+        assert [r["text"][c["s"] : c["e"]] for c in r["candidates"]] == [r["name"]] * 2
+    everything = {("", 0): 1.0}
+    assert [r["added"] for r in pii.find(docs.where("doc_id = 0"), everything).collect()][0][0]["e"] == len("so Frau Schäfer")
+
+
 def test_toxicity_on_held_out_rows(spark, documents, tmp_path):
     random.seed(3)
     words = ["".join(random.choice("abcdefgh") for _ in range(random.randint(2, 6))) for _ in range(500)]
