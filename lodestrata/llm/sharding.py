@@ -27,7 +27,8 @@ Tree = list[list[list[tuple[int, float]]]]
 
 
 def tree(shards: int, weights: dict[int, float] | None = None, regions: int = REGIONS, racks: int = RACKS) -> Tree:
-    """Regions of racks of (shard, weight). The base holds the largest multiple of 16 (or of 1 below 16)."""
+    """Regions of racks of (shard, weight). The base holds the first 16 shards, or none where there are fewer, so that a
+    tree of fewer does not grow into one of 16 by the law."""
     base = regions * racks * SHARDS
     weigh = lambda s: float((weights or {}).get(s, 1.0))
     per_rack, full = SHARDS, base if shards >= base else 0
@@ -79,6 +80,8 @@ def with_shard(rows: DataFrame, key: Column, nodes: Tree, name: str) -> DataFram
 
 def shards(docs: DataFrame, count: int = 16, weights: dict[int, float] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """A row for each of ``docs``: its size, crc, shard among ``count``, slot, and shard with one more."""
+    if count < REGIONS * RACKS * SHARDS:
+        raise ValueError(f"the law holds from {REGIONS * RACKS * SHARDS} shards on")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = text_or_empty()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))

@@ -73,6 +73,12 @@ def test_tree_moves_only_into_the_new_shard(spark):
     assert 1700 < counts[0] < 2300 and len(counts) == 4
 
 
+def test_shards_refuse_counts_without_the_law(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    with pytest.raises(ValueError):
+        sharding.shards(docs, 15)
+
+
 def test_votes_and_reliability():
     good = {1 + 3 * 1 + 9 * 1: 300.0, 2 * 27 + 9 * 2: 300.0, 1 + 27 * 2: 5.0, 0: 50.0}
     chance, rates, share = pii.estimate(good)
