@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; keeps a batch of long texts small in a Python worker.
-ARROW_ROWS = 512
+#: Rows and bytes of one Arrow batch; a batch ends with the row that reaches either.
+ARROW_ROWS, ARROW_BYTES = 512, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +24,7 @@ def python_ready(spark: SparkSession) -> None:
     On a cluster the package is shipped with ``--py-files``; locally the workers find it on disk.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -30,9 +32,11 @@ def python_ready(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where it is unset."""
+    """The folder all executors share, from spark.checkpoint.dir; where it is unset a local one, on local masters only."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "/tmp/lodestrata-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -60,8 +64,18 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def holds(packed: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether a bitmap (bytes as numbers) has the bit of each number, modulo its size."""
+    place = numbers.astype(np.int64, copy=False) & (8 * len(packed) - 1)
+    return (packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 > 0
+
+
+def bits_for(rows: int, most: int = 1 << 28) -> int:
+    """Bits of a bitmap for so many rows: 16 a row, from 128 KB to 32 MB."""
+    return 1 << max(20, min(most.bit_length() - 1, (16 * max(1, rows) - 1).bit_length()))
+
+
 def _packed_bits(batches):
-    import numpy as np
     import pandas as pd
 
     for rows in batches:

@@ -3,24 +3,32 @@
 Texts with equal sets of word shingles form a class, which stands for its rows from then on. Classes link when
 their Jaccard distance is at most the bound (100 * common >= percent * union).
 
-Pivots are single-shingle sets. A class is at distance 1 - 1/size from the pivots of its own shingles and at 1
-from all others, so its Voronoi regions are those of its shingles, in one global order for ties: the most frequent
-shingles of a sample of documents come last (an order only; any order gives the same links), the rest by hash. By
-the triangle inequality two classes within the bound cannot differ in more than a fixed part of their
-shingles, so a class is replicated to the first size - least common + depth regions of its order, and two linked
-classes meet in at least ``depth`` regions. Inside regions the join goes on recursively: first each region's few
-leaders, documents as pivots, are compared with its members and linked members become components; then only
-members of different components are compared, the largest component of a region against the rest. Pairs that meet
-too rarely are left out; all others are held against each other's whole sets. Regions of over ``LIMIT`` members
-are entered only by classes that have ``depth`` such regions, and lower the number of meetings asked for.
-
-Sets are 64-bit hashes: two different shingles of a pair, or two sets of the corpus, fall together with a chance
-of about 2**-64 a pair. Only the list of frequent shingles (at most ``FREQUENT`` numbers) and a bitmap of fixed size
-are broadcast; no group is gathered in a task, and copies cost one row a task.
+Pivots are documents. Two classes within the bound share at least ``depth`` of the first shingles of their sets, in
+one global order (shingles frequent in a sample of documents come last, the rest go by hash; any order gives
+the same links). Classes without such a shingle are further than the bound from all others and leave at once. Of all classes
+that hold a shingle among their first the one of least signature is its pivot, and a class enters the regions of the
+pivots of its shingles: as the same few documents lead nearly all shingles of a group of copies, these are few.
+
+Regions join recursively and exactly. Inside a region documents far from each other become its pivots, the distance of
+every member to each of them is taken, and a member belongs to the Voronoi region of the nearest. By the triangle
+inequality a member y can link to one that belongs to p only if d(y, p) <= d(y, own) + 2 * bound, so it is replicated
+to the regions inside that window, where it meets those that belong there. Members already connected don't meet
+again. Parts of at most ``LEAF`` members, and those that no pivot divides as all distances are alike, meet member by
+member. A region of over ``MEMBERS`` members (or ``WEIGHT`` shingles) is not held by a task: pivots drawn from it
+divide it over the cluster in the same way, and link its members, turn by turn; of what they can't divide, members outside
+the largest component meet all others in blocks. Only links that connect two components are passed on.
+
+Lists of over ``LIMIT`` classes are left out for a class that has fewer than ``depth`` of them: it shares another shingle with
+whatever it links to.
+
+Words are hashed as bytes and shingles from these, to 64 bits: two different shingles of a pair, or two sets of the
+corpus, fall together with a chance of about 2**-64 a pair. Broadcast are the list of frequent shingles (at most
+``FREQUENT`` numbers) and bitmaps of at most 32 MB; no group is gathered in a task, and copies cost one row a task.
 
 Defined results: a null text counts as empty; an empty set links with nothing, its component is its own doc_id;
 rows with equal sets (not empty) are linked, repeated doc_ids too; a null doc_id is kept and never names a
-component, unless it has none other; an empty table gives no rows; other columns are ignored.
+component, unless it has none other; an empty table gives no rows; other columns are ignored by ``join`` and kept by
+``one_of_each``, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,20 +37,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bitmap, cut, python_ready, table
+from lodestrata.llm.common import bitmap, bits_for, cut, holds, python_ready, table
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import Shingler, signature
 
 WORDS, PERCENT = 4, 85
-DEPTH, LEADERS, LIMIT = 8, 4, 2000
-#: Regions of more members get other leaders, twice as many each time, before the members meet one by one.
-WIDE, TURNS = 128, 5
+DEPTH, LIMIT = 8, 2000
+#: Members and shingles of a region that one task holds.
+MEMBERS, WEIGHT = 2048, 1 << 22
+#: Pivots of a larger region, turns in which pivots are drawn, and replicas a member on average that count as undivided.
+PIVOTS, TURNS, SPREAD = 16, 4, 4.0
+#: Pivots of a region inside a task, and members that meet one by one.
+NEAR, LEAF = 8, 48
 #: One document in so many is looked at for frequent shingles; a shingle in so many of these is frequent.
 SAMPLE, SEEN, FREQUENT = 32, 3, 100_000
-BITMAP = 1 << 24
+#: Classes that a task remembers having passed on.
+REMEMBERED = 1_000_000
 
 
 def _least_common(n, percent: int):
@@ -51,12 +64,156 @@ def _least_common(n, percent: int):
 
 
 def _depth(n, percent: int):
-    """How many regions two linked classes share at least, if the smaller has ``n`` shingles."""
+    """How many of its first shingles a class of ``n`` shares at least with whatever it links to."""
     return max(1, min(DEPTH, _least_common(n, percent) // 4))
 
 
-def depth_column(n: Column, percent: int) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(DEPTH), F.floor(F.ceil(n * percent / 100) / 4)))
+# ---------------------------------------------------------------- inside a region
+
+
+class Region:
+    """Members (sets of hashes, ascending) of a region that a task holds, and which of them are connected."""
+
+    def __init__(self, sets: list[np.ndarray], labels: np.ndarray, percent: int):
+        self.percent, self.bound, self.labels = percent, 1 - percent / 100, labels
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        distinct, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+        self.links: list[tuple[int, int]] = []
+
+    def possible(self) -> np.ndarray:
+        """The members that share one of their first shingles, in the order of how rare they are here."""
+        n = len(self.sizes)
+        of = np.repeat(np.arange(n), self.sizes)
+        often = np.bincount(self.flat, minlength=len(self.mark))
+        order = np.lexsort((self.flat, often[self.flat], of))
+        first = self.sizes - (self.percent * self.sizes + 99) // 100 + 1
+        keep = np.arange(len(order)) - np.repeat(self.starts, self.sizes) < np.repeat(first, self.sizes)
+        own, member = self.flat[order][keep], of[keep]
+        return np.unique(member[np.bincount(own, minlength=len(self.mark))[own] > 1])
+
+    def parts(self, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of the members, one after the other, and where each begins."""
+        sizes = self.sizes[members]
+        at = np.cumsum(sizes) - sizes
+        return self.flat[np.repeat(self.starts[members] - at, sizes) + np.arange(sizes.sum())], at
+
+    def common(self, one: int, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+        own = self.flat[self.starts[one] : self.ends[one]]
+        self.mark[own] = True
+        out = np.add.reduceat(self.mark[flat], at, dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+    def connect(self, one: int, members: np.ndarray, common: np.ndarray) -> None:
+        near = members[100 * common >= self.percent * (self.sizes[members] + self.sizes[one] - common)]
+        labels = self.labels
+        for other in near.tolist():
+            if labels[other] != labels[one]:
+                self.links.append((one, other))
+                labels[labels == labels[other]] = labels[one]
+
+    def solve(self, members: np.ndarray, home: np.ndarray) -> None:
+        """Connects each member that is at home here with all members it links to."""
+        if len(members) < 2 or not home.any() or (self.labels[members] == self.labels[members[0]]).all():
+            return
+        flat, at = self.parts(members)
+        if len(members) <= LEAF:
+            self.meet(members, home, flat, at)
+            return
+        far, pivot, distances = np.full(len(members), np.inf), 0, []
+        for _ in range(NEAR):  # each the furthest from those before
+            common = self.common(members[pivot], flat, at)
+            self.connect(members[pivot], members, common)
+            distance = 1 - common / (self.sizes[members] + self.sizes[members[pivot]] - common)
+            distances.append(distance)
+            far = np.minimum(far, distance)
+            pivot = int(np.argmax(far))
+            if not far[pivot]:
+                break
+        away = np.array(distances)
+        own = np.argmin(away, 0)
+        inside = away <= far + 2 * self.bound + 1e-9
+        if inside.sum() > SPREAD * len(members) or inside.sum(1).max() > 0.9 * len(members):
+            self.meet(members, home, flat, at)
+            return
+        for p in range(len(away)):
+            self.solve(members[inside[p]], (home & (own == p))[inside[p]])
+
+    def meet(self, members: np.ndarray, home: np.ndarray, flat: np.ndarray, at: np.ndarray) -> None:
+        for i in np.flatnonzero(home).tolist():
+            one = members[i]
+            if (self.labels[members] != self.labels[one]).any():
+                self.connect(one, members, self.common(one, flat, at))
+
+
+def region_links(sets: list[np.ndarray], home: np.ndarray, labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links (places in ``sets``) that connect the members at home with what they link to, given equal ``labels`` of
+    connected members; as many as components merge."""
+    region = Region(sets, np.unique(labels, return_inverse=True)[1].reshape(-1), percent)
+    members = region.possible()
+    region.solve(members, home[members])
+    return region.links
+
+
+def _linked(percent: int):
+    """Links of each region. Rows (region, sig, home, label, s) come sorted by region."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, {}
+
+        def links() -> list[tuple[int, int]]:
+            sigs, rows = list(held), list(held.values())
+            if len(sigs) < 2:
+                return []
+            found = region_links([r[2] for r in rows], np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), percent)
+            return [(sigs[a], sigs[b]) for a, b in found]
+
+        def emit(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for rows in batches:
+            out = []
+            for i, (region, sig, home, label) in enumerate(zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True)):
+                if region != last:
+                    out += links()
+                    last, held = region, {}
+                before = held.get(sig)
+                held[sig] = (home or bool(before and before[0]), label, np.frombuffer(rows.column(4)[i].as_buffer(), np.uint64))
+            yield emit(out)
+        yield emit(links())
+
+    return run
+
+
+def _located(percent: int):
+    """Of each member the pivot it belongs to, those inside its window and those it links to. Rows: region, sig, s, pivots."""
+    bound = 1 - percent / 100
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, names, sets = None, np.zeros(0, np.int64), []
+        longs = pa.list_(pa.int64())
+        for rows in batches:
+            out = []
+            for i, (region, sig) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True)):
+                if region != last:
+                    pivots = rows.column(3)[i].as_py()
+                    last, names, sets = region, np.array([p["q"] for p in pivots]), [np.frombuffer(p["s"], np.uint64) for p in pivots]
+                own = np.frombuffer(rows.column(2)[i].as_buffer(), np.uint64)
+                common = np.array([(q[np.minimum(np.searchsorted(q, own), len(q) - 1)] == own).sum() for q in sets])
+                union = np.array([len(q) for q in sets]) + len(own) - common
+                away = 1 - common / union
+                near = names[(100 * common >= percent * union) & (names != sig)]
+                out.append((region, sig, int(names[np.argmin(away)]), names[away <= away.min() + 2 * bound + 1e-9].tolist(), near.tolist()))
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), longs, longs), strict=True)], names=["region", "sig", "own", "inside", "near"])
+
+    return run
+
+
+# ---------------------------------------------------------------- passes over the texts
 
 
 def _sets(words: int):
@@ -71,110 +228,156 @@ def _sets(words: int):
     return run
 
 
+def _classes(rows: pa.RecordBatch, shingle: Shingler, seen: set) -> Iterator[tuple[int, np.ndarray]]:
+    """Signature and set of the texts of a batch; equal sets of one task come once."""
+    for text in rows.column(0).to_pylist():
+        s = shingle(text)
+        if len(s) and (sig := signature(s)) not in seen:
+            if len(seen) < REMEMBERED:
+                seen.add(sig)
+            yield sig, s
+
+
 def _sampled(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(words), set()
         for rows in batches:
-            found = [np.zeros(0, np.int64)]
-            for text in rows.column(0).to_pylist():
-                s = shingle(text)
-                sig = signature(s)
-                if sig not in seen:
-                    seen.add(sig)
-                    found.append(s.view(np.int64))
+            found = [np.zeros(0, np.int64), *(s.view(np.int64) for _, s in _classes(rows, shingle, seen))]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["h"])
 
     return run
 
 
-def _regions(words: int, percent: int, frequent):
-    """A row for each region that a set is replicated to; equal sets of one task come once."""
+def _first(s: np.ndarray, percent: int, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, given the frequent ones and how frequent they are."""
+    n = len(s)
+    first = n - _least_common(n, percent) + _depth(n, percent)
+    if len(common) and first < n:
+        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+        weight = np.where(common[at] == s, rank[at], 0)
+        if weight.any():
+            s = s[np.lexsort((s, weight))]
+    return s[:first].view(np.int64)
+
+
+def _posted(words: int, percent: int, frequent):
+    """Each class's signature with each of its first shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, seen = Shingler(words), set()
-        common, rank = frequent.value  # ascending hashes and how frequent each is
         for rows in batches:
-            pivots, sigs, sizes = [np.zeros(0, np.int64)], [], []
-            for text in rows.column(0).to_pylist():
-                s = shingle(text)
-                n = len(s)
-                if not n or (sig := signature(s)) in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(sig)
-                first = n - _least_common(n, percent) + _depth(n, percent)
-                if len(common) and first < n:
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    weight = np.where(common[at] == s, rank[at], 0)
-                    if weight.any():
-                        s = s[np.lexsort((s, weight))]
-                pivots.append(s[:first].view(np.int64))
+            firsts, sigs = [np.zeros(0, np.int64)], []
+            for sig, s in _classes(rows, shingle, seen):
+                firsts.append(_first(s, percent, *frequent.value))
                 sigs.append(sig)
-                sizes.append(n)
-            each = [len(p) for p in pivots[1:]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pivots), pa.int64()), pa.array(np.repeat(np.array(sigs, np.int64), each), pa.int64()), pa.array(np.repeat(np.array(sizes, np.int64), each), pa.int64())], names=["pivot", "sig", "n"])
+            each = [len(p) for p in firsts[1:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts), pa.int64()), pa.array(np.repeat(np.array(sigs, np.int64), each), pa.int64())], names=["h", "sig"])
 
     return run
 
 
-def _whole(words: int, wanted):
-    """Signature and set of the texts whose signature the bitmap holds."""
+def _meeting(words: int, percent: int, frequent, shared):
+    """The classes that may share ``depth`` of their first shingles: signature, size, depth and these shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, seen, bits = Shingler(words), set(), np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        shingle, seen, packed = Shingler(words), set(), np.frombuffer(shared.value, np.uint8)
         for rows in batches:
-            out: dict[int, bytes] = {}
-            for text in rows.column(0).to_pylist():
-                s = shingle(text)
-                sig = signature(s)
-                if len(s) and sig not in seen and bits[sig % BITMAP]:
-                    if len(seen) < 1_000_000:
-                        seen.add(sig)
-                    out[sig] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["sig", "s"])
+            out = []
+            for sig, s in _classes(rows, shingle, seen):
+                first = _first(s, percent, *frequent.value)
+                first, depth = first[holds(packed, first)], _depth(len(s), percent)
+                if len(first) >= depth:
+                    out.append((sig, len(s), depth, first))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sig", "n", "depth", "first"])
 
     return run
 
 
-def _only(wanted):
-    """The rows whose signature the bitmap holds."""
+def _whole(words: int, wanted):
+    """Signature and set of the classes whose signature the bitmap holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        shingle, seen, packed = Shingler(words), set(), np.frombuffer(wanted.value, np.uint8)
         for rows in batches:
-            sig = rows.column(0).to_numpy(zero_copy_only=False)
-            yield rows.filter(pa.array(bits[sig % BITMAP] > 0))
+            own = list(_classes(rows, shingle, seen))
+            hit = holds(packed, np.array([sig for sig, _ in own], np.int64))
+            own = [x for x, h in zip(own, hit.tolist(), strict=True) if h]
+            yield pa.RecordBatch.from_arrays([pa.array([sig for sig, _ in own], pa.int64()), pa.array([s.tobytes() for _, s in own], pa.binary())], names=["sig", "s"])
 
     return run
 
 
-def _linked(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            keep = []
-            for x, y in zip(rows.column(2), rows.column(3), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-                both = int((q[at] == p).sum())
-                keep.append(100 * both >= percent * (len(p) + len(q) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([rows.column(0).filter(mask), rows.column(1).filter(mask)], names=["a", "b"])
+# ---------------------------------------------------------------- the join
 
-    return run
 
+def _bitmap(numbers: DataFrame, name: str):
+    """A broadcast bitmap of the values of a column, of bounded size."""
+    size = bits_for(numbers.count())
+    return numbers.sparkSession.sparkContext.broadcast(bitmap(numbers, F.col(name).bitwiseAND(F.lit(size - 1)), size))
 
-def _size_fits(n: Column, m: Column, percent: int) -> Column:
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
 
+def _blocks(cells: DataFrame, large: DataFrame) -> DataFrame:
+    """Regions as pairs of blocks that a task holds: members at home in one block against all of another."""
+    own = cells.join(large.select("region", "m", "w", "h"), "region")
+    ratio = F.greatest(F.col("m") / MEMBERS, F.col("w") / WEIGHT)
+    own = own.withColumn("all_blocks", F.ceil(ratio)).withColumn("home_blocks", F.ceil(ratio * F.col("h") / F.col("m")))
+    count = lambda c: F.sequence(F.lit(0).cast("long"), F.greatest(F.col(c), F.lit(1)) - 1)
+    dealt = lambda c: F.pmod(F.xxhash64("sig"), F.greatest(F.col(c), F.lit(1)))
+    columns = ["region", "sig", "n"]
+    everyone = own.select(*columns, F.explode(count("home_blocks")).alias("i"), dealt("all_blocks").alias("j"), F.lit(False).alias("home"))
+    homes = own.where("home").select(*columns, dealt("home_blocks").alias("i"), F.explode(count("all_blocks")).alias("j"), F.lit(True).alias("home"))
+    return everyone.union(homes).select(F.xxhash64("region", "i", "j").alias("region"), "sig", "n", "home")
 
-def _bitmap(sigs: DataFrame) -> bytes:
-    return bitmap(sigs, F.col("sig"), BITMAP)
+
+def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect the classes of ``cells`` (region, sig, n), within regions."""
+    edges, labels, ready = None, None, []
+    cells = cells.withColumn("home", F.lit(True))
+    for turn in range(TURNS + 1):
+        sizes = cells.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
+        large = cut(sizes.where((F.col("m") > MEMBERS) | (F.col("w") > WEIGHT) & (F.col("m") > 2)))
+        some = large.limit(1).count() > 0
+        ready.append(cells.join(large.select("region"), "region", "left_anti").join(sizes.select("region"), "region", "left_semi") if some else cells.join(sizes.select("region"), "region", "left_semi"))
+        if not some:
+            break
+        cells = cut(cells.join(large.select("region"), "region", "left_semi"))
+        if turn == TURNS:
+            ready.append(_blocks(cells, large))
+            break
+        # pivots drawn from each region link its members and divide it
+        drawn = cells.join(large.select("region", "m"), "region").where(F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("m")) < PIVOTS)
+        pivots = drawn.join(sets, "sig").groupBy("region").agg(F.collect_list(F.struct(F.col("sig").alias("q"), "s")).alias("pivots"))  # some PIVOTS
+        at = cells.select("region", "sig").join(sets, "sig").join(pivots, "region").select("region", "sig", "s", "pivots")
+        at = cut(at.mapInArrow(_located(percent), "region long, sig long, own long, inside array<long>, near array<long>"))
+        near = at.select(F.col("sig").alias("a"), F.explode("near").alias("b"))
+        edges = cut(near if edges is None else edges.union(near))
+        labels = components(edges)
+        split = at.groupBy("region").agg(F.avg(F.size("inside")).alias("spread")).where(F.col("spread") <= SPREAD).select("region", F.lit(True).alias("split"))
+        placed = cells.join(at.select("region", "sig", "own", "inside"), ["region", "sig"], "left").join(split, "region", "left")
+        kept = placed.where("split is null").select("region", "sig", "n")
+        parts = placed.where("split").select("region", "sig", "n", "home", "own", F.explode("inside").alias("q"))
+        parts = parts.select(F.xxhash64("region", "q").alias("region"), "sig", "n", (F.col("home") & (F.col("own") == F.col("q"))).alias("home"))
+        # what a region's largest component holds need not meet itself, and nothing else needs it as its home
+        marked = kept.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        most = marked.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "label")).alias("most"))
+        kept = marked.join(most, "region").select("region", "sig", "n", (F.col("label") != F.col("most.label")).alias("home"))
+        cells = cut(kept.union(parts))
+    cells = ready[0]
+    for more in ready[1:]:
+        cells = cells.union(more)
+    if labels is None:
+        cells = cells.withColumn("label", F.col("sig"))
+    else:
+        cells = cells.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    whole = cells.join(sets, "sig").select("region", "sig", "home", "label", "s").repartition("region").sortWithinPartitions("region")
+    found = whole.mapInArrow(_linked(percent), "a long, b long")
+    return cut(found if edges is None else edges.union(found))
 
 
 def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig, n) of every row, and (sig, label) of every class that links to another."""
+    """(doc_id, sig, n) of every row, and (node, label) of every class that links to another."""
     spark = docs.sparkSession
     python_ready(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -184,64 +387,20 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     found = sorted((r["h"] % (1 << 64), r["n"]) for r in top)
     frequent = spark.sparkContext.broadcast((np.array([h for h, _ in found], np.uint64), np.array([n for _, n in found], np.int64)))
 
-    # regions of two or more classes
-    posted = texts.mapInArrow(_regions(words, percent, frequent), "pivot long, sig long, n long")
-    posted = posted.repartition("pivot").dropDuplicates(["pivot", "sig"])
-    cells = posted.withColumn("members", F.count("*").over(Window.partitionBy("pivot"))).where("members > 1")
-    cells = cut(cells.withColumn("over", F.col("members") > LIMIT).drop("members"))
-    meets = cells.groupBy("sig").agg(F.count("*").alias("met"), F.count_if("over").alias("q"), F.max("n").alias("size"))
-    meets = cut(meets.withColumn("depth", depth_column(F.col("size"), percent).cast("long")).where("met >= depth").select("sig", "q", "depth"))
-    cells = cells.join(meets, "sig").where(~F.col("over") | (F.col("q") >= F.col("depth"))).select("pivot", "sig", "n", "q", "depth")
-    place = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("sig"), "sig"))
-    cells = cut(cells.withColumn("place", place))
-    wanted = spark.sparkContext.broadcast(_bitmap(meets))
-    sets = texts.mapInArrow(_whole(words, wanted), "sig long, s binary")
+    # the first shingles of two or more classes, each with its pivot: the class of least signature
+    posted = texts.mapInArrow(_posted(words, percent, frequent), "h long, sig long")
+    shared = posted.groupBy("h").agg(F.min("sig").alias("pivot"), F.max("sig").alias("other"), F.count("*").alias("members"))
+    shared = cut(shared.where("pivot < other").select("h", "pivot", (F.col("members") > LIMIT).alias("over")))
+    own = texts.mapInArrow(_meeting(words, percent, frequent, _bitmap(shared, "h")), "sig long, n long, depth int, first array<long>")
+    own = own.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "depth", "first")))
+    held = own.select("sig", "n", "depth", F.explode("first").alias("h")).join(shared, "h")
+    over = lambda yes: F.collect_set(F.when(F.col("over") == yes, F.col("pivot")))  # noqa: E731  as many as first shingles at most
+    held = held.groupBy("sig", "n", "depth").agg(F.count("*").alias("met"), F.count_if("over").alias("q"), over(False).alias("few"), over(True).alias("many"))
+    regions = F.when(F.col("q") >= F.col("depth"), F.array_union("few", "many")).otherwise(F.col("few"))
+    cells = cut(held.where("met >= depth").select(F.explode(regions).alias("region"), "sig", "n"))
+    sets = texts.mapInArrow(_whole(words, _bitmap(cells.select("sig").distinct(), "sig")), "sig long, s binary")
     sets = cut(sets.groupBy("sig").agg(F.first("s").alias("s")))
-
-    def meeting(x: DataFrame, y: DataFrame, apart: Column) -> DataFrame:
-        """Pairs of members that meet often enough, each once, the lesser signature first."""
-        pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.sig") != F.col("y.sig")) & apart & _size_fits(F.col("x.n"), F.col("y.n"), percent))
-        asked = F.greatest(F.lit(1), F.least("x.depth", "y.depth") - F.least("x.q", "y.q"))
-        pairs = pairs.select(F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b"), asked.alias("asked"))
-        return pairs.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("asked").alias("asked")).where("met >= asked").select("a", "b")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        named = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-        needed = spark.sparkContext.broadcast(_bitmap(named))
-        own = sets.mapInArrow(_only(needed), "sig long, s binary")
-        one = own.select(F.col("sig").alias("a"), F.col("s").alias("s_a"))
-        two = own.select(F.col("sig").alias("b"), F.col("s").alias("s_b"))
-        return cut(pairs.join(one, "a").join(two, "b").select("a", "b", "s_a", "s_b").mapInArrow(_linked(percent), "a long, b long"))
-
-    # the leaders of each region against its members
-    lead = cells.where(F.col("place") <= LEADERS).alias("x")
-    tried = cut(meeting(lead, cells.alias("y"), F.col("x.place") < F.col("y.place")))
-    edges = links(tried)
-    labels = components(edges)
-    for turn in range(1, TURNS + 1):
-        # regions that hold several components still
-        marked = cut(cells.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("pivot", "sig", "n", "q", "depth", F.coalesce("label", "sig").alias("label")))
-        parts = marked.groupBy("pivot", "label").agg(F.count("*").alias("n"))
-        several = parts.groupBy("pivot").agg(F.sum("n").alias("members"), F.count("*").alias("parts"), F.max(F.struct("n", "label")).alias("most")).where("parts > 1")
-        several = cut(several.select("pivot", "members", F.col("most.label").alias("largest")))
-        wide = several.where(F.col("members") > WIDE)
-        if turn == TURNS or not wide.limit(1).count():
-            break
-        # other leaders for the wide ones, more each time
-        order = F.row_number().over(Window.partitionBy("pivot").orderBy(F.xxhash64("sig", F.lit(turn)), "sig"))
-        again = cut(marked.join(wide.select("pivot"), "pivot").withColumn("place", order))
-        lead = again.where(F.col("place") <= LEADERS << turn).alias("x")
-        fresh = cut(meeting(lead, again.alias("y"), (F.col("x.label") != F.col("y.label")) & (F.col("x.place") < F.col("y.place"))).join(tried, ["a", "b"], "left_anti"))
-        tried = cut(tried.union(fresh))
-        edges = cut(edges.union(links(fresh)))
-        labels = components(edges)
-    # members of different components: all but a region's largest against all
-    open_ = cut(marked.join(several.select("pivot", "largest"), "pivot"))
-    apart = (F.col("x.label") != F.col("y.label")) & ((F.col("y.label") == F.col("y.largest")) | (F.col("x.sig") < F.col("y.sig")))
-    rest = cut(meeting(open_.where("label <> largest").alias("x"), open_.alias("y"), apart).join(tried, ["a", "b"], "left_anti"))
-    further = links(rest)
-    if further.limit(1).count():
-        labels = components(edges.union(further))
+    labels = components(_links(cells, sets, percent))
     return rows.mapInArrow(_sets(words), "doc_id long, sig long, n long"), labels
 
 
@@ -262,13 +421,11 @@ def _with_sets(words: int, text_at: int, wanted):
     """Each row with its set's signature, and whether the bitmap holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle, bits = Shingler(words), np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        shingle, packed = Shingler(words), np.frombuffer(wanted.value, np.uint8)
         for rows in batches:
-            sigs, hits = [], []
-            for text in rows.column(0).field(text_at).to_pylist():
-                s = shingle(text or "")
-                sigs.append(signature(s))
-                hits.append(bool(len(s) and bits[sigs[-1] % BITMAP]))
+            sets = [shingle(text or "") for text in rows.column(0).field(text_at).to_pylist()]
+            sigs = np.array([signature(s) for s in sets], np.int64)
+            hits = holds(packed, sigs) & np.array([len(s) > 0 for s in sets], bool)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigs, pa.int64()), pa.array(hits, pa.bool_())], names=["was", "sig", "hit"])
 
     return run
@@ -277,7 +434,7 @@ def _with_sets(words: int, text_at: int, wanted):
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """``docs``, all columns, with one row of each group of linked rows: one with the least doc_id. Rows without a
     word all stay. Only rows of groups (and the few that the bitmap can't tell from them) are shuffled."""
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     found, labels = classes(docs, words, percent)
     least = found.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
     least = least.join(labels.withColumnRenamed("node", "sig"), "sig", "left").where("label is not null or copies > 1")
@@ -286,7 +443,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     decided = cut(least.join(first, "label").select("sig", (F.col("sig") == F.col("best.sig")).alias("chosen"), F.col("best.doc_id").alias("best")))
     held = docs.select(F.struct(*columns).alias("was"))
     schema = held.withColumns({"sig": F.lit(0).cast("long"), "hit": F.lit(True)}).schema
-    rows = held.mapInArrow(_with_sets(words, columns.index("text"), spark.sparkContext.broadcast(_bitmap(decided))), schema)
+    rows = held.mapInArrow(_with_sets(words, columns.index("text"), _bitmap(decided, "sig")), schema)
     grouped = rows.where("hit").join(decided, "sig", "left")
     grouped = grouped.where(F.col("chosen").isNull() | (F.col("chosen") & F.col("was.doc_id").cast("long").eqNullSafe(F.col("best"))))
     alone = F.when(F.col("chosen").isNull(), F.monotonically_increasing_id())

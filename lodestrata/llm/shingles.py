@@ -1,14 +1,14 @@
-"""Sets of word shingles as arrays of 64-bit hashes, without a Python object for each word."""
+"""Sets of word shingles as arrays of 64-bit hashes. Each word is hashed as its bytes; frequent words only once."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Words whose hashes a task remembers, and the longest of them in bytes.
+KNOWN, LONGEST = 300_000, 40
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -17,36 +17,25 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-_OF_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * _FACTOR)
-
-
-class Shingler:
-    """Shingles of ``k`` words: runs of other characters than ASCII white space, A-Z lower-cased."""
+class Shingler(dict):
+    """Shingles of ``k`` words: runs of other characters than ASCII white space, A-Z lower-cased. Holds known words."""
 
     def __init__(self, k: int):
-        self.k, self.powers, self.inverse = k, np.ones(1, np.uint64), np.ones(1, np.uint64)
+        super().__init__()
+        self.k = k
 
-    def _grow(self, n: int) -> None:
-        size = max(n, 2 * len(self.powers))
-        back = np.uint64(pow(int(_FACTOR), -1, 1 << 64))
-        for name, factor in (("powers", _FACTOR), ("inverse", back)):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = h
+        return h
 
     def words(self, text: str) -> np.ndarray:
         """A hash of each word, in order."""
-        raw = np.frombuffer(text.encode().translate(_LOWER), np.uint8)
-        n = len(raw)
-        if n + 1 > len(self.powers):
-            self._grow(n + 1)
-        edge = np.flatnonzero(np.diff(~_SPACE[raw], prepend=False, append=False))
-        if not len(edge):
-            return np.zeros(0, np.uint64)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_OF_BYTE[raw] * self.powers[:n], out=sums[1:])
-        starts, ends = edge[::2], edge[1::2]
-        return mixed((sums[ends] - sums[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64))
+        found = text.encode().lower().split()  # of bytes: ASCII letters and white space only
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
     def __call__(self, text: str) -> np.ndarray:
         """The distinct shingles, ascending; with fewer than ``k`` words the whole sequence is one."""
@@ -62,6 +51,4 @@ class Shingler:
 
 def signature(shingles: np.ndarray) -> int:
     """A hash of the whole set, as a signed 64-bit number."""
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)

@@ -231,21 +231,80 @@ def test_one_of_each(spark):
     assert ids == [-1, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10]
 
 
-def test_large_regions(spark, monkeypatch):
-    """The same links where regions count as too large, leaders are few and groups are big."""
-    random.seed(6)
-    base = [f"w{random.randint(0, 400)}" for _ in range(60)]
+def near_copies(number, words, changed, seed=6):
+    random.seed(seed)
+    base = [f"w{random.randint(0, 400)}" for _ in range(words)]
     rows = []
-    for i in range(60):
+    for i in range(number):
         own = list(base)
-        for _ in range(random.randint(0, 3)):
-            own[random.randrange(60)] = f"x{random.randint(0, 9)}"
+        for _ in range(random.randint(*changed)):
+            own[random.randrange(words)] = f"x{random.randint(0, 9)}"
         rows.append((i, " ".join(own)))
+    return rows
+
+
+def plain_components(texts, k, percent):
+    sets = [{tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(a & b)
+            if label[i] != label[j] and 100 * both >= percent * (len(a) + len(b) - both):
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("values", [{}, {"LIMIT": 10, "LEAF": 2}, {"MEMBERS": 8, "LIMIT": 1}, {"MEMBERS": 5, "TURNS": 1, "PIVOTS": 2}, {"MEMBERS": 6, "TURNS": 0}, {"MEMBERS": 8, "SPREAD": 100.0, "LEAF": 2}, {"WEIGHT": 300, "LIMIT": 1}])
+def test_large_regions(spark, monkeypatch, values):
+    """The links of a plain reading, also where regions count as too large for a task or lists as too long."""
+    rows = near_copies(60, 60, (0, 3)) + [(100 + i, t) for i, t in near_copies(60, 60, (0, 9), 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect())
-    for name, value in (("LIMIT", 10), ("LEADERS", 1), ("WIDE", 3), ("TURNS", 2)):
+    label = plain_components([t for _, t in rows], 4, 85)
+    for name, value in values.items():
         monkeypatch.setattr(ngram_join, name, value)
-    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()) == want
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.join(docs).collect()) == sorted((d, rows[x][0]) for (d, _), x in zip(rows, label, strict=True))
+
+
+@pytest.mark.parametrize(("leaf", "spread"), [(48, 4.0), (2, 4.0), (2, 100.0)])
+def test_voronoi_regions(monkeypatch, leaf, spread):
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
+    monkeypatch.setattr(ngram_join, "SPREAD", spread)
+    rng = np.random.default_rng(5)
+    for turn in range(30):
+        centres = [rng.choice(4000, rng.integers(5, 60), replace=False) for _ in range(5)]
+        sets = []
+        for _ in range(80):
+            own = set(centres[rng.integers(5)].tolist())
+            sets.append(np.array(sorted({x for x in own if rng.random() > 0.08} | set(rng.integers(0, 4000, rng.integers(0, 4)).tolist()) or {1}), np.uint64))
+        label = list(range(80))
+        for i in range(80):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    label = [label[j] if x == label[i] else x for x in label]
+        found = list(range(80))
+        for i, j in ngram_join.region_links(sets, np.ones(80, bool), np.arange(80), 80):
+            found = [found[j] if x == found[i] else x for x in found]
+        same = lambda ls: [[a == b for b in ls] for a in ls]
+        assert same(found) == same(label), turn
+
+
+def test_a_region_without_links(spark):
+    """Thousands of members that share two thirds with each other and link with none: no pair of them becomes a row."""
+    random.seed(8)
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(i, shared + " " + " ".join(f"o{random.randint(0, 10**6)}" for _ in range(30))) for i in range(5000)]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 5000 and all(r["component_id"] == r["doc_id"] for r in found)
+
+
+def test_words_that_share_nothing(spark):
+    rows = []
+    for n, size in ((0, 1024), (2, 2048)):  # Thue-Morse words and their complements, which sums modulo 2**64 confuse
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        rows += [(n, word), (n + 1, word.translate(str.maketrans("ab", "ba")))]
+    found = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["component_id"] for r in found) == [0, 1, 2, 3]
 
 
 def test_dedup_keeps_characters(spark):
