@@ -7,7 +7,8 @@ Pivots are documents. Two classes within the bound share at least ``depth`` of t
 one global order (shingles frequent in a sample of documents come last, the rest go by hash; any order gives
 the same links). Classes without such a shingle are further than the bound from all others and leave at once. Of all classes
 that hold a shingle among their first the one of least signature is its pivot, and a class enters the regions of the
-pivots of its shingles: as the same few documents lead nearly all shingles of a group of copies, these are few.
+pivots of its shingles: as the same few documents lead nearly all shingles of a group of copies, these are few. Regions are
+cut by size as well: sets further apart in size than the bound allows do not meet.
 
 Regions join recursively and exactly. Inside a region documents far from each other become its pivots, the distance of
 every member to each of them is taken, and a member belongs to the Voronoi region of the nearest. By the triangle
@@ -33,11 +34,12 @@ component, unless it has none other; an empty table gives no rows; other columns
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import bitmap, bits_for, cut, holds, python_ready, table
@@ -45,7 +47,7 @@ from lodestrata.llm.components import components
 from lodestrata.llm.shingles import Shingler, signature
 
 WORDS, PERCENT = 4, 85
-DEPTH, LIMIT = 8, 2000
+DEPTH, DEEPER, LIMIT = 8, 40, 2000
 #: Members and shingles of a region that one task holds.
 MEMBERS, WEIGHT = 2048, 1 << 22
 #: Pivots of a larger region, turns in which pivots are drawn, and replicas a member on average that count as undivided.
@@ -65,7 +67,8 @@ def _least_common(n, percent: int):
 
 def _depth(n, percent: int):
     """How many of its first shingles a class of ``n`` shares at least with whatever it links to."""
-    return max(1, min(DEPTH, _least_common(n, percent) // 4))
+    least = _least_common(n, percent)  # grows with it, by less: so does the larger of two linked classes share its depth
+    return max(1, min(DEPTH + least // DEEPER, least // 4))
 
 
 # ---------------------------------------------------------------- inside a region
@@ -318,6 +321,28 @@ def _bitmap(numbers: DataFrame, name: str):
     return numbers.sparkSession.sparkContext.broadcast(bitmap(numbers, F.col(name).bitwiseAND(F.lit(size - 1)), size))
 
 
+def _sized(cells: DataFrame, percent: int) -> DataFrame:
+    """Regions (region, sig, n, home) of ``cells`` (pivot, sig, n, asked, met) by size as well. A class is at home in its
+    own class of sizes and replicated to the next; those further away can't link. Classes that no longer share as many of
+    their first shingles with others as a link would leave. A class stays out of the regions that it owes the fewest of these
+    shingles, under half of what a link shares in all: as both sides leave out under half, a shared one is left."""
+    step = math.log(100 / percent) * (1 + 1e-9)  # linked sizes differ by less than a step
+    size = F.floor(F.log(F.col("n")) / step)
+    rows = cells.withColumn("size", size).withColumn("at", F.explode(F.array("size", F.col("size") + 1)))
+    rows = cut(rows.select(F.xxhash64("pivot", "at").alias("region"), "pivot", "sig", "n", "asked", "met", (F.col("at") == F.col("size")).alias("home")))
+
+    def alive(rows: DataFrame) -> DataFrame:
+        some = rows.groupBy("region").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
+        return rows.join(some.select("region"), "region", "left_semi")
+
+    rows = cut(alive(rows))
+    own = Window.partitionBy("sig")  # as many rows as a class has first shingles at most
+    live = rows.select("sig", "asked", "pivot", "met").distinct().withColumn("all_met", F.sum("met").over(own)).where("all_met >= asked")
+    up_to = F.sum("met").over(own.orderBy("met", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    live = live.withColumn("up_to", up_to).where(2 * F.col("up_to") > F.col("asked") - 1)
+    return cut(alive(rows.join(live.select("sig", "pivot"), ["sig", "pivot"], "left_semi")).select("region", "sig", "n", "home"))
+
+
 def _blocks(cells: DataFrame, large: DataFrame) -> DataFrame:
     """Regions as pairs of blocks that a task holds: members at home in one block against all of another."""
     own = cells.join(large.select("region", "m", "w", "h"), "region")
@@ -332,9 +357,8 @@ def _blocks(cells: DataFrame, large: DataFrame) -> DataFrame:
 
 
 def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect the classes of ``cells`` (region, sig, n), within regions."""
+    """Links (a, b) that connect the classes of ``cells`` (region, sig, n, home), within regions."""
     edges, labels, ready = None, None, []
-    cells = cells.withColumn("home", F.lit(True))
     for turn in range(TURNS + 1):
         sizes = cells.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
         large = cut(sizes.where((F.col("m") > MEMBERS) | (F.col("w") > WEIGHT) & (F.col("m") > 2)))
@@ -394,10 +418,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     own = texts.mapInArrow(_meeting(words, percent, frequent, _bitmap(shared, "h")), "sig long, n long, depth int, first array<long>")
     own = own.groupBy("sig").agg(*(F.first(c).alias(c) for c in ("n", "depth", "first")))
     held = own.select("sig", "n", "depth", F.explode("first").alias("h")).join(shared, "h")
-    over = lambda yes: F.collect_set(F.when(F.col("over") == yes, F.col("pivot")))  # noqa: E731  as many as first shingles at most
+    over = lambda yes: F.collect_list(F.when(F.col("over") == yes, F.col("pivot")))  # noqa: E731  as many as first shingles at most
     held = held.groupBy("sig", "n", "depth").agg(F.count("*").alias("met"), F.count_if("over").alias("q"), over(False).alias("few"), over(True).alias("many"))
-    regions = F.when(F.col("q") >= F.col("depth"), F.array_union("few", "many")).otherwise(F.col("few"))
-    cells = cut(held.where("met >= depth").select(F.explode(regions).alias("region"), "sig", "n"))
+    all_ = F.col("q") >= F.col("depth")
+    pivots = F.when(all_, F.concat("few", "many")).otherwise(F.col("few"))
+    asked = F.col("depth") - F.when(all_, 0).otherwise(F.col("q"))  # of the shingles that a link shares, these lead to regions
+    cells = held.where("met >= depth").select("sig", "n", asked.alias("asked"), F.explode(pivots).alias("pivot")).groupBy("sig", "n", "asked", "pivot").agg(F.count("*").alias("met"))
+    cells = _sized(cells, percent)
     sets = texts.mapInArrow(_whole(words, _bitmap(cells.select("sig").distinct(), "sig")), "sig long, s binary")
     sets = cut(sets.groupBy("sig").agg(F.first("s").alias("s")))
     labels = components(_links(cells, sets, percent))
