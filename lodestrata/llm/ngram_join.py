@@ -225,7 +225,7 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for rows in batches:
-            sets = [shingle(t) for t in rows.column(1).to_pylist()]
+            sets = shingle.sets(rows.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], names=["doc_id", "sig", "n"])
 
     return run
@@ -233,8 +233,7 @@ def _sets(words: int):
 
 def _classes(rows: pa.RecordBatch, shingle: Shingler, seen: set) -> Iterator[tuple[int, np.ndarray]]:
     """Signature and set of the texts of a batch; equal sets of one task come once."""
-    for text in rows.column(0).to_pylist():
-        s = shingle(text)
+    for s in shingle.sets(rows.column(0).to_pylist()):
         if len(s) and (sig := signature(s)) not in seen:
             if len(seen) < REMEMBERED:
                 seen.add(sig)
@@ -450,7 +449,7 @@ def _with_sets(words: int, text_at: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle, packed = Shingler(words), np.frombuffer(wanted.value, np.uint8)
         for rows in batches:
-            sets = [shingle(text or "") for text in rows.column(0).field(text_at).to_pylist()]
+            sets = shingle.sets([text or "" for text in rows.column(0).field(text_at).to_pylist()])
             sigs = np.array([signature(s) for s in sets], np.int64)
             hits = holds(packed, sigs) & np.array([len(s) > 0 for s in sets], bool)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(sigs, pa.int64()), pa.array(hits, pa.bool_())], names=["was", "sig", "hit"])
