@@ -555,3 +555,84 @@ def test_pipeline_stages(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+@pytest.mark.parametrize("toxic", [[1] * 8, [0] * 8, [1] + [0] * 7])
+def test_no_evidence_keeps_documents(spark, documents, toxic):
+    """Labels of one class, or too few for calibration: harmless documents stay, and columns of any name."""
+    clash = "_score double, score double, score_ double, _difference double, _was string, was string, difference int, fold int"
+    folder = documents([(*r, 0.7, 0.6, 0.5, 0.4, "w", "x", 3, 4) for r in HARD], clash)
+    spark.createDataFrame([(i, t) for i, t in enumerate(toxic, 4)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.toxicity(spark, docs, folder)
+    kept = out.collect()
+    assert out.columns == docs.columns
+    assert all("one" in (r[1] or "") for r in map(tuple, HARD) if r not in [tuple(k)[:2] for k in kept])  # the word of the only toxic row
+    assert {tuple(r)[2:] for r in out.collect()} == {(0.7, 0.6, 0.5, 0.4, "w", "x", 3, 4)}
+
+
+def test_broadcast_and_table_models_agree(spark, monkeypatch):
+    random.seed(12)
+    rows = [(i, " ".join(random.choices(["a", "b", "c", "zounds" if i % 3 == 0 else "d", "é"], k=random.randint(0, 30)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)], "doc_id long, toxic int")
+    one = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, labels).collect()}
+    monkeypatch.setattr(toxicity, "BROADCAST", 0)
+    two = {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, labels).collect()}
+    assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-6 for i in one)
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    """The counts, discounts, continuation counts, backoff and weights of the module, in plain Python."""
+    random.seed(13)
+    texts = [" ".join(random.choices("abcdefg", [7, 6, 5, 4, 3, 2, 1 + 4 * (i % 3 == 0)], k=random.randint(1, 12))) for i in range(90)] + ["a h b", "", "z"]
+    toxic = [int(i % 3 == 0) for i in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame([(i, t, 1) for i, t in enumerate(toxic)], "doc_id long, toxic int, fold int"))
+    found = {r["doc_id"]: r["_difference"] for r in toxicity.differences(docs, model).collect()}
+    from collections import Counter
+
+    pairs = ({}, {})
+    n, d = [Counter(), Counter()], [Counter(), Counter()]
+    wd = [Counter(), Counter()]
+    for t, c in zip(texts, toxic, strict=False):
+        ws = ["<s>", *t.split()]
+        n[c].update(zip(ws, ws[1:], strict=False))
+        d[c].update(set(zip(ws, ws[1:], strict=False)))
+        wd[c].update(set(ws[1:]))
+    del pairs
+    many = [len([x for x in toxic if x == c]) for c in (0, 1)]
+    cont = [Counter(w for _, w in n[c]) for c in (0, 1)]
+    by = [toxicity._discounts(*(sum(v == i for v in n[c].values()) for i in range(1, 5))) for c in (0, 1)]
+    word_by = [toxicity._discounts(*(sum(v == i for v in cont[c].values()) for i in range(1, 5))) for c in (0, 1)]
+    shared = Counter(w for t in texts for w in t.split())
+    everything = sum(shared.values())
+
+    def weight(k1, k0):
+        share, m = many[1] / sum(many), k1 + k0
+        cells = ((k1, m * share), (k0, m * (1 - share)), (many[1] - k1, (sum(many) - m) * share), (many[0] - k0, (sum(many) - m) * (1 - share)))
+        e = max(0.0, 2 * sum(k * np.log(k / x) for k, x in cells if k > 0))
+        return e * e / (e * e + toxicity.SOFT**2)
+
+    def word(w, c):
+        if w not in cont[0] and w not in cont[1]:
+            return 1.0
+        total, k, base = sum(cont[c].values()), cont[c][w], shared[w] / everything
+        rest = min(1.0, sum(word_by[c][min(v, 3)] for v in cont[c].values()) / total)
+        g = weight(wd[1][w], wd[0][w])
+        return g * ((k - word_by[c][min(k, 3)]) / total + rest * base) + (1 - g) * base
+
+    for i, t in enumerate(texts):
+        ws, out = ["<s>", *t.split()], 0.0
+        for v, w in zip(ws, ws[1:], strict=False):
+            alone = np.log(word(w, 1)) - np.log(word(w, 0))
+            full = []
+            for c in (1, 0):
+                after = {p: k for p, k in n[c].items() if p[0] == v}
+                t_ = max(1, sum(after.values()))
+                b = sum(by[c][min(k, 3)] for k in after.values()) / t_ if after else 1.0
+                k = n[c][v, w]
+                full.append(np.log(max(0.0, k - by[c][min(k, 3)]) / t_ + b * word(w, c)))
+            g = weight(d[1][v, w], d[0][v, w]) if n[0][v, w] + n[1][v, w] else 0.0
+            out += alone + g * (full[0] - full[1] - alone)
+        assert abs(found[i] - out / max(1, len(ws) - 1)) < 1e-5, t
