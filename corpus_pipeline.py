@@ -30,27 +30,51 @@ def _counted(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the class models don't call toxic."""
-    return scored(docs, table(spark, sf_dir, "labels")).where(F.col("_score") < 0.5).drop("_score")
+    """Documents whose class models score them below 0.5; all columns, under any name, as they were.
+
+    Null and empty texts hold no evidence and stay, as do all documents where the labels hold one class only or too few
+    rows to learn from. Texts are scored whole, however long; repeated rows each on its own; an empty table stays empty.
+    """
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, table(spark, sf_dir, "labels"), name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document, of least doc_id, of each group that links of 5-word shingles and 80 percent connect; all columns as they were.
+
+    Null, empty and blank texts have no shingle and all stay; texts under five words are one shingle; repeated rows and
+    equal texts are one group; a null doc_id stays only where its group has no other; an empty table stays empty.
+    """
     return one_of_each(docs, WORDS, PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand elsewhere too."""
+    """Documents without the bytes covered by a string of ``PASSAGE`` bytes that also starts anywhere else.
+
+    A character that loses a byte goes as a whole, and n_chars, where there is such a column, is counted again. Null texts
+    stay null; texts under that size stay as they are; of texts that are equal as a whole each loses all; the text of a very
+    long document is judged whole; no row goes; an empty table stays empty.
+    """
     return _counted(docs, dedup(docs, PASSAGE))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
+    """Documents with each span of personal data replaced by its kind, in brackets; n_chars is counted again.
+
+    Null texts stay null, texts without a span as they are; spans that overlap go together; equal texts change alike; the
+    model of added spans is learned from the distinct texts; no row goes; an empty table stays empty.
+    """
     return _counted(docs, redact(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 4096 tokens."""
+    """Pieces of the documents in sequences of at most 4096 tokens: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    Null and empty texts have the closing id alone; long ones are cut, none is shortened; repeated rows are packed each on
+    its own; other columns are left out; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
