@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bitmap, cut, python_ready, table
+from lodestrata.llm.common import bitmap, bits_for, cut, holds, python_ready, table
 from lodestrata.llm.shingles import mixed
 
 SIZE, GRAM = 400, 32
@@ -41,7 +41,7 @@ SIZE, GRAM = 400, 32
 SAMPLE, SEEN, FREQUENT = 32, 6, 100_000
 #: Segments at which a batch ends with the group, segments above which a group's windows are counted, and stretches.
 BATCH, LARGE, STRETCHES = 6000, 20_000, 8
-LEAST_BITS, MOST_BITS = 20, 28
+MOST_BITS = 28
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -245,14 +245,13 @@ def _segments(size: int, frequent, again, with_bytes: bool):
     places, by text and key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors, bits = Anchors(size, frequent.value), np.unpackbits(np.frombuffer(again.value, np.uint8))
-        mask = np.uint64(len(bits) - 1)
+        anchors, packed = Anchors(size, frequent.value), np.frombuffer(again.value, np.uint8)
         for rows in batches:
             held: dict[tuple, int] = {}
             places: list[tuple] = []
             for texts in anchors.batches(rows.column(0).to_pylist()):
                 of, h, at, first, last = anchors(texts)
-                keep = bits[(h & mask).astype(np.int64)] > 0
+                keep = holds(packed, _signed(h))
                 digests: dict[int, str] = {}
                 for d, x, p, a, b in zip(of[keep].tolist(), _signed(h[keep]).tolist(), at[keep].tolist(), first[keep].tolist(), last[keep].tolist(), strict=True):
                     segment = texts[d][a : b + size]
@@ -361,11 +360,13 @@ def _windows(size: int, live):
     """Hash of each window in the stretches that the bitmap holds, with its segment and start there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(live.value, np.uint8))
+        packed = np.frombuffer(live.value, np.uint8)
         kinds = [pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64()]
         for rows in batches:
             for h, anchor, segment, n in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
-                starts = [i for x, a, b in _stretches(segment, anchor, h, size) if bits[x % len(bits)] for i in range(a, b + 1)]
+                own = list(_stretches(segment, anchor, h, size))
+                hit = holds(packed, np.array([x for x, _, _ in own], np.uint64)).tolist()
+                starts = [i for (_, a, b), yes in zip(own, hit, strict=True) if yes for i in range(a, b + 1)]
                 if starts:
                     m = len(starts)
                     columns = [[_key(segment[i : i + size]) for i in starts], [h] * m, [_key(segment)] * m, starts, [n] * m]
@@ -393,7 +394,7 @@ def counted_ranges(segments: DataFrame, size: int) -> DataFrame:
     segments = cut(segments.groupBy("h", "anchor", "segment").agg(F.sum("n").alias("n")))
     shared = segments.mapInArrow(_shared(size), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
     live = cut(shared.where("n > 1").select("x"))
-    bits = spark.sparkContext.broadcast(bitmap(live, F.col("x").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), _bits(live.count())))
+    bits = spark.sparkContext.broadcast(bitmap(live, F.col("x").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), bits_for(live.count())))
     windows = segments.mapInArrow(_windows(size, bits), "window binary, h long, key binary, at int, n long")
     again = windows.groupBy("window").agg(F.sum("n").alias("n")).where("n > 1").select("window")
     starts = windows.join(again, "window").groupBy("h", "key").agg(F.collect_set("at").alias("starts"))  # under ``size`` each
@@ -426,23 +427,16 @@ def _named(wanted):
     """Text and digest of the rows whose digest the bitmap holds; equal texts of a batch come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8))
+        packed = np.frombuffer(wanted.value, np.uint8)
         for rows in batches:
-            own = {}
-            for text in rows.column(0).to_pylist():
-                d = hashlib.sha256(text.encode()).hexdigest()
-                if bits[int(d[:14], 16) % len(bits)]:
-                    own[d] = text
+            texts = {hashlib.sha256(t.encode()).hexdigest(): t for t in rows.column(0).to_pylist()}
+            hit = holds(packed, np.array([int(d[:14], 16) for d in texts], np.int64)).tolist()
+            own = {d: t for (d, t), yes in zip(texts.items(), hit, strict=True) if yes}
             yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.string())], names=["digest", "text"])
 
     return run
 
 
-def _bits(rows: int) -> int:
-    """Bits of a bitmap for so many rows: 16 a row, within 128 KB and 32 MB."""
-    return 1 << max(LEAST_BITS, min(MOST_BITS, (16 * max(1, rows) - 1).bit_length()))
-
-
 def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``digest`` (SHA-256 of the text) and ``n_bytes``, and for each digest that loses bytes: n_removed,
     n_spans, kept_sha256 and the removed byte ranges (none listed where a whole text goes)."""
@@ -455,15 +449,16 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     frequent = spark.sparkContext.broadcast(np.sort(np.array([r["h"] % (1 << 64) for r in top], np.uint64)))
 
     counts = texts.mapInArrow(_counted(size, frequent), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    again = cut(counts.where("n > 1").select("h"))
-    bits = spark.sparkContext.broadcast(bitmap(again, F.col("h").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), _bits(again.count())))
+    again = cut(counts.where("n > 1"))
+    bits = spark.sparkContext.broadcast(bitmap(again, F.col("h").bitwiseAND(F.lit((1 << MOST_BITS) - 1)), bits_for(again.count())))
     segments = texts.mapInArrow(_segments(size, frequent, bits, True), "h long, anchor int, segment binary, n long")
-    many = [r["h"] for r in counts.where(F.col("n") > LARGE).select("h").collect()]  # one in LARGE places at most
-    small = segments.where(~F.col("h").isin(many)) if many else segments
+    many = cut(again.where(F.col("n") > LARGE).select("h"))
+    some = many.limit(1).count() > 0
+    small = segments.join(many, "h", "left_anti") if some else segments
     grouped = small.select(F.col("h").alias("key"), "h", "anchor", "segment", "n")
     ranges = grouped.repartition("key").sortWithinPartitions("key", "anchor", "segment").mapInArrow(_built(size), "h long, key binary, low int, high int")
-    if many:
-        ranges = ranges.union(counted_ranges(segments.where(F.col("h").isin(many)), size))
+    if some:
+        ranges = ranges.union(counted_ranges(segments.join(many, "h", "left_semi"), size))
     ranges = cut(ranges.distinct())
     places = texts.mapInArrow(_segments(size, frequent, bits, False), "h long, key binary, digest string, start long")
     spans = places.join(ranges, ["h", "key"]).select("digest", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high"))
@@ -475,7 +470,7 @@ def removed_spans(docs: DataFrame, size: int = SIZE) -> tuple[DataFrame, DataFra
     empty = "array<struct<low:bigint,high:bigint>>"
     whole = several.select("digest", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"), F.array(F.struct(F.lit(0).cast("long").alias("low"), F.col("n_bytes").alias("high"))).cast(empty).alias("removed"))
     spans = cut(spans.join(several.select("digest"), "digest", "left_anti"))
-    wanted = spark.sparkContext.broadcast(bitmap(spans, F.conv(F.substring("digest", 1, 14), 16, 10).cast("long"), _bits(spans.count())))
+    wanted = spark.sparkContext.broadcast(bitmap(spans, F.conv(F.substring("digest", 1, 14), 16, 10).cast("long"), bits_for(spans.count())))
     named = texts.mapInArrow(_named(wanted), "digest string, text string")
     parts = named.groupBy("digest").agg(F.first("text").alias("text")).join(spans, "digest").select("digest", "text", "spans")
     partly = parts.mapInArrow(_kept(size), f"digest string, n_removed long, n_spans long, kept_sha256 string, removed {empty}")
