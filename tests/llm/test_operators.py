@@ -636,3 +636,22 @@ def test_toxicity_equals_a_plain_model(spark):
             g = weight(d[1][v, w], d[0][v, w]) if n[0][v, w] + n[1][v, w] else 0.0
             out += alone + g * (full[0] - full[1] - alone)
         assert abs(found[i] - out / max(1, len(ws) - 1)) < 1e-5, t
+
+
+@pytest.mark.parametrize("spread", [0.001, 0.5, 1e18])
+def test_topk_in_blocks(spark, spread):
+    """Small parts and few pivots, on clusters that bounds can leave out, on noise, and on sums beyond exact doubles."""
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 6))
+    x = centres[rng.integers(12, size=400)] + spread * rng.normal(size=(400, 6))
+    x[100:140] = x[100]
+    docs = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(docs, 5, 10, part=16, pivots=12).collect()}
+    whole = [[int(v) for v in np.floor(256 * row)] for row in x]
+    most = 2**63 - 1
+    for q in range(0, 400, 10):
+        scores = sorted((-max(-most - 1, min(most, sum(a * b for a, b in zip(whole[q], w, strict=True)))), i) for i, w in enumerate(whole) if i != q)[:5]
+        if spread < 1e18:
+            assert [found[q, n] for n in range(1, 6)] == [(i, -s) for s, i in scores]
+        else:
+            assert [found[q, n][1] for n in range(1, 6)] == [-s for s, _ in scores]
