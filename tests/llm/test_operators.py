@@ -582,14 +582,17 @@ def test_broadcast_and_table_models_agree(spark, monkeypatch):
     assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-6 for i in one)
 
 
-def test_toxicity_equals_a_plain_model(spark):
+@pytest.mark.parametrize("portion", [1 << 19, 5])
+def test_toxicity_equals_a_plain_model(spark, monkeypatch, portion):
     """The counts, discounts, continuation counts, backoff and weights of the module, in plain Python."""
     random.seed(13)
     texts = [" ".join(random.choices("abcdefg", [7, 6, 5, 4, 3, 2, 1 + 4 * (i % 3 == 0)], k=random.randint(1, 12))) for i in range(90)] + ["a h b", "", "z"]
     toxic = [int(i % 3 == 0) for i in range(80)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame([(i, t, 1) for i, t in enumerate(toxic)], "doc_id long, toxic int, fold int"))
-    found = {r["doc_id"]: r["_difference"] for r in toxicity.differences(docs, model).collect()}
+    words_, pairs_ = model.arrays()
+    monkeypatch.setattr(toxicity, "PORTION", portion)
+    found = dict(enumerate(toxicity.differences_of(texts, toxicity.Hashes(), words_, pairs_, model.by)))
     from collections import Counter
 
     pairs = ({}, {})
