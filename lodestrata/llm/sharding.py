@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import table, text_or_empty
 
 REGIONS, RACKS, SHARDS, BUCKETS = 2, 2, 4, 1024
+#: Copies of a row that one task expands at a time.
+COPIES = 10_000
 
 Tree = list[list[list[tuple[int, float]]]]
 
@@ -94,8 +96,14 @@ def shards(docs: DataFrame, count: int = 16, weights: dict[int, float] | None =
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0)))
     placed = placed.join(bases, (F.col("shard") == F.col("of_shard")) & (F.col("bucket") == F.col("of_bucket")))
-    start = F.col("base") + F.col("first")
-    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", F.explode(F.sequence(start, start + F.col("copies") - 1)).alias("slot"), "grown_shard")
+    placed = placed.withColumn("start", F.col("base") + F.col("first"))
+    columns = ["doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard"]
+    slots = lambda start, copies: F.explode(F.sequence(start, start + copies - 1)).alias("slot")
+    few = placed.where(F.col("copies") <= COPIES).select(*columns, slots(F.col("start"), F.col("copies")), "grown_shard")
+    # a row that stands for many is expanded by many tasks
+    many = placed.where(F.col("copies") > COPIES).withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(COPIES).cast("long"))))
+    many = many.repartition("doc_id", "size", "text_crc32", "at")
+    return few.union(many.select(*columns, slots(F.col("start") + F.col("at"), F.least(F.col("copies") - F.col("at"), F.lit(COPIES))), "grown_shard"))
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
