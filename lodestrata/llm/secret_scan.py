@@ -71,7 +71,7 @@ def scan(docs: DataFrame, ledger: str | None = None, rule_version: str = RULE_VE
         unseen = rows.join(seen, "blob", "left_anti")
     blobs = unseen.groupBy("blob").agg(F.first("text").alias("text"))
     scan_blobs(blobs).select("blob", F.lit(rule_version).alias("rule_version"), F.col("findings").cast(FINDINGS)).write.mode("append").parquet(ledger)
-    scanned = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select("blob", "findings")
+    scanned = spark.read.schema(schema).parquet(ledger).where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).groupBy("blob").agg(F.first("findings").alias("findings"))  # once, should two runs have scanned it
     out = rows.select("doc_id", "blob").join(scanned, "blob", "left")
     return out.select("doc_id", "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
