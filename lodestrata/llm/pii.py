@@ -36,7 +36,11 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Titles before names, in several languages.
-TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Sr", "Sra", "Mme", "Mlle")
+TITLES = (
+    "Mr", "Mrs", "Ms", "Miss", "Mister", "Madam", "Sir", "Lady", "Dr", "Doctor", "Prof", "Professor", "Rev", "Capt", "Col", "Sgt",
+    "Herr", "Herrn", "Frau", "Fräulein", "Fru", "Monsieur", "Madame", "Mademoiselle", "Mme", "Mlle", "Maître",
+    "Sr", "Sra", "Srta", "Señor", "Señora", "Señorita", "Don", "Doña", "Dott", "Sig", "Signor", "Signora", "Pan", "Pani", "Senhor", "Senhora",
+)
 #: A capitalised word of any language, to its end.
 NAME = r"\p{Lu}(?=[\p{L}\p{M}'’])[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+"
 CANDIDATE = (
@@ -44,8 +48,18 @@ CANDIDATE = (
     r"|(?<![A-Za-z0-9_@.])@[A-Za-z][A-Za-z0-9_]{2,30}+(?![A-Za-z0-9_@])"
     rf"|(?<![\p{{L}}\p{{M}}])(?:{'|'.join(TITLES)})\.?\x20{NAME}(?:\x20{NAME})*+"
 )
-CUES_FOR = r"(?i)(?:phone|mobile|tel|call|fax|contact|mail|card|account|iban|passport|name|address|born|user)[^A-Za-z0-9]{0,4}$"
-CUES_AGAINST = r"(?i)(?:page|version|isbn|issn|token|commit|sha|line|chapter|section|no|nr|id|key)[^A-Za-z0-9]{0,4}$"
+#: Words that stand before personal data or before other numbers, in several languages, each as a whole word.
+FOR = (
+    "phone", "mobile", "tel", "telephone", "cell", "call", "fax", "whatsapp", "contact", "mail", "card", "account", "iban", "passport", "ssn", "name", "address", "born", "user", "reach",
+    "telefon", "handy", "anrufen", "rufnummer", "konto", "ausweis", "adresse", "geboren", "nutzer", "téléphone", "portable", "appeler", "carte", "compte", "passeport", "nom", "né", "née",
+    "teléfono", "móvil", "llamar", "tarjeta", "cuenta", "pasaporte", "nombre", "dirección", "nacido", "usuario",
+)
+AGAINST = (
+    "page", "pages", "version", "isbn", "issn", "doi", "token", "commit", "sha", "line", "chapter", "section", "no", "nr", "id", "key", "order", "invoice", "serial", "part", "build", "port", "year",
+    "seite", "kapitel", "zeile", "bestellung", "rechnung", "jahr", "chapitre", "ligne", "commande", "facture", "année", "página", "capítulo", "línea", "pedido", "factura", "año",
+)
+CUES_FOR = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(FOR)})[^\p{{L}}\p{{N}}]{{0,4}}$"
+CUES_AGAINST = rf"(?i)(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(AGAINST)})[^\p{{L}}\p{{N}}]{{0,4}}$"
 UNITS = r"(?i)^\x20?(?:kg|km|cm|mm|mb|gb|ms|px|eur|usd|percent|%|\$)"
 COUNTRY = r"^\+(?:1|7|2[0-9]|3[0-9]|4[0-9]|5[0-9]|6[0-6]|8[0-9]|9[0-9])"
 #: Abstention, yes, no.
@@ -112,7 +126,7 @@ def estimate(counts: dict[int, float]) -> tuple[dict[int, float], list[tuple[flo
                 all_ = sum(counts[p] * weigh(p) for p in counts if split[p][i] != NOTHING)
                 own.append(yes + (0.8, 0.2)[len(own)] * 4)
                 own[-1] /= all_ + 4
-            rates.append((max(own[0], own[1]), min(own)))  # a labeler is never worse than chance
+            rates.append((own[0], own[1]) if own[0] >= own[1] else (sum(own) / 2, sum(own) / 2))  # one worse than chance says nothing
         for p, votes in split.items():
             odds = math.log(share / (1 - share))
             for i, v in enumerate(votes):

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = "array<struct<s:int,e:int,m:string>>"
+#: Matches whose places are summed up one after the other; more are summed in pieces.
+PIECE = 128
 
 
 def with_matches(df: DataFrame, name: str, text: str, pattern: str, if_contains: str | None = None) -> DataFrame:
@@ -28,8 +30,15 @@ def with_matches(df: DataFrame, name: str, text: str, pattern: str, if_contains:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m")))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
-    spans = F.when(F.size(m) > 0, F.aggregate(gaps, zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
-    return df.withColumn(name, spans).drop(f"_m_{name}", f"_p_{name}")
+    few = lambda gaps: F.aggregate(gaps, zero, step)  # noqa: E731  adds to an array, so only a piece of many
+    pieces = F.transform(F.sequence(F.lit(0), F.size(m) - 1, F.lit(PIECE)), lambda i: few(F.slice(gaps, i + 1, F.lit(PIECE))))
+    starts = lambda pieces: F.aggregate(F.transform(pieces, lambda p: p["at"]), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    moved = lambda p, at: F.transform(p["out"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["m"].alias("m")))
+    many = F.flatten(F.zip_with(F.col(f"_g_{name}"), F.slice(starts(F.col(f"_g_{name}")), F.lit(1), F.size(f"_g_{name}")), moved))
+    df = df.withColumn(f"_g_{name}", F.when(F.size(m) > PIECE, pieces))
+    none = F.array().cast(SPAN)
+    spans = F.when(F.size(m) == 0, none).when(F.size(m) <= PIECE, few(gaps)["out"]).otherwise(many)
+    return df.withColumn(name, spans).drop(f"_m_{name}", f"_p_{name}", f"_g_{name}")
 
 
 def named(spans: Column, kind: str) -> Column:

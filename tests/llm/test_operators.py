@@ -111,7 +111,7 @@ def test_ledger_scans_only_new_pairs(spark, documents):
 def test_other_secrets(spark):
     texts = ["-----BEGIN RSA PRIVATE KEY-----", "eyJhbGciOiJI.eyJzdWIiOiIx.abc", "ghp_" + "a" * 36]
     found = secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
-    assert [[f["k"] for f in r["findings"]] for r in sorted(found, key=lambda r: r["doc_id"])][:2] == [[3], [4]]
+    assert [[f["k"] for f in r["findings"]] for r in sorted(found, key=lambda r: r["doc_id"])] == [[3], [4], [5, 2]]
 
 
 def test_whole_names_are_candidates(spark):
@@ -658,3 +658,60 @@ def test_topk_in_blocks(spark, spread):
             assert [found[q, n] for n in range(1, 6)] == [(i, -s) for s, i in scores]
         else:
             assert [found[q, n][1] for n in range(1, 6)] == [-s for s, _ in scores]
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"é{i}@x{i}.org" + " " * (i % 3) for i in range(1000))
+    found = pii.with_base(spark.createDataFrame([(1, text), (2, text[:500]), (3, "")], "doc_id long, text string")).select("doc_id", "email").collect()
+    import re
+
+    for r in found:
+        own = {1: text, 2: text[:500], 3: ""}[r["doc_id"]]
+        assert [(x["s"], x["e"], x["m"]) for x in r["email"]] == [(*m.span(), m[0]) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", own)]
+
+
+def test_added_spans_on_planted_rows(spark):
+    """Personal data that no base rule finds, among numbers of other kinds."""
+    random.seed(14)
+    number = lambda: f"{random.randint(200, 999)}-{random.randint(200, 999)}-{random.randint(1000, 9999)}"
+    planted = ["Frau Schäfer kam.", "Señor Ibáñez llama.", "Madame Éloise Dupont part."] + [f"Please call {number()} today." for _ in range(20)] + [f"Telefon: {number()}." for _ in range(20)] + [f"teléfono {number()}" for _ in range(10)]
+    decoys = [f"see page {random.randint(10**7, 10**8)}" for _ in range(20)] + [f"casino {random.randint(10**9, 10**10)} mm" for _ in range(5)] + [f"version {random.randint(10**7, 10**8)}.1" for _ in range(20)] + [f"invoice {random.randint(10**16, 10**17)}" for _ in range(10)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(planted + decoys)], "doc_id long, text string")
+    found = {r["doc_id"]: len(r["added"]) for r in pii.find(docs).select("doc_id", "added").collect()}
+    assert sum(found[i] > 0 for i in range(len(planted))) >= 0.9 * len(planted)
+    assert sum(found[i] > 0 for i in range(len(planted), len(found))) <= 0.1 * len(decoys)
+
+
+def test_ledger_written_by_two_runs(spark, documents):
+    folder = documents([(1, "password=abcdef"), (2, "password=abcdef"), (3, "clean")])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ledger = f"{shared_dir(spark)}/test-{random.random()}"
+    secret_scan.scan(docs, ledger).collect()
+    spark.read.parquet(ledger).write.mode("append").parquet(f"{ledger}-copy")
+    spark.read.parquet(f"{ledger}-copy").write.mode("append").parquet(ledger)  # as if another run had scanned the same blobs
+    assert sorted((r["doc_id"], len(r["findings"])) for r in secret_scan.scan(docs, ledger).collect()) == [(1, 1), (2, 1), (3, 0)]
+
+
+def test_a_row_with_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    docs = spark.createDataFrame([(1, "a")] * 50 + [(2, "b")] * 7 + [(i, "c") for i in range(3, 40)], "doc_id long, text string")
+    slots = {}
+    for r in sharding.shards(docs).collect():
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert sum(map(len, slots.values())) == 94 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_shards_equal_a_plain_tree(spark):
+    """Each row's shard by the draws of the tree, in plain Python."""
+    docs = spark.createDataFrame([(i, "x") for i in range(300)] + [(None, "x")], "doc_id long, text string")
+    rows = docs.select(sharding.F.coalesce(sharding.F.col("doc_id").cast("string"), sharding.F.lit("null")).alias("key"))
+    placed = sharding.with_shard(rows, sharding.F.col("key"), sharding.tree(17), "shard").collect()
+
+    def least(key, children):
+        draw = lambda c: -np.log((int(hashlib.md5(f"{key}/{c[0]}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / c[1]
+        return min(children, key=draw)
+
+    for r in placed:
+        region = least(r["key"], [(f"region{x[0][0][0]}", sum(w for k in x for _, w in k), x) for x in sharding.tree(17)])[2]
+        rack = least(r["key"], [(f"rack{k[0][0]}", sum(w for _, w in k), k) for k in region])[2]
+        assert r["shard"] == least(r["key"], [(f"shard{s}", w, s) for s, w in rack])[2]
