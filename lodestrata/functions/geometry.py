@@ -28,16 +28,11 @@ LARGEST = "1.7976931348623157E308D"
 def number_sql(x: str) -> str:
     """A double as text: shortest digits, always a fraction or an exponent, plain from 1e-4 up to 1e16."""
     s = f"CAST({x} AS STRING)"
-    sign = f"IF({x} < 0, '-', '')"
-    whole = f"regexp_replace(regexp_extract({s}, '^-?([0-9.]+)E', 1), '[.]0$', '')"
-    digits = f"replace({whole}, '.', '')"
-    exponent = f"CAST(regexp_extract({s}, 'E(-?[0-9]+)$', 1) AS INT)"
-    large = f"IF(length({digits}) <= {exponent} + 1, concat(rpad({digits}, {exponent} + 1, '0'), '.0'), concat(substr({digits}, 1, {exponent} + 1), '.', substr({digits}, {exponent} + 2)))"
-    small = f"concat('0.', repeat('0', -{exponent} - 1), {digits})"
+    # Spark's exponents between these bounds, written out: the shortest digits are exact as a decimal
+    plain = f"regexp_replace(CAST(CAST({s} AS DECIMAL(38, 21)) AS STRING), '([.][0-9]+?)0+$', '$1')"
     return (
-        f"CASE WHEN isnan({x}) THEN 'NaN' WHEN {x} = DOUBLE('Infinity') THEN 'inf' WHEN {x} = DOUBLE('-Infinity') THEN '-inf' "
-        f"WHEN NOT contains({s}, 'E') THEN {s} WHEN abs({x}) >= 1E7D AND abs({x}) < 1E16D THEN concat({sign}, {large}) "
-        f"WHEN abs({x}) >= 1E-4D AND abs({x}) < 1E0D THEN concat({sign}, {small}) ELSE concat({sign}, {whole}, 'e', {exponent}) END"
+        f"CASE WHEN contains({s}, 'n') THEN replace({s}, 'Infinity', 'inf') WHEN NOT contains({s}, 'E') THEN {s} "
+        f"WHEN abs({x}) >= 1E-4D AND abs({x}) < 1E16D THEN {plain} ELSE replace(replace({s}, '.0E', 'e'), 'E', 'e') END"
     )
 
 
@@ -79,20 +74,20 @@ def as_text_sql() -> str:
     )
 
 
-def _axis(f: str, axis: str) -> str:
-    return f"array_{f}(array_remove({_FLAT}.{axis}, DOUBLE('NaN')))"
+_SIDES = (("xmin", "min", "x"), ("ymin", "min", "y"), ("xmax", "max", "x"), ("ymax", "max", "y"))
+_BOX = "named_struct(" + ", ".join(f"'{name}', array_{f}(array_remove(f.{axis}, DOUBLE('NaN')))" for name, f, axis in _SIDES) + ")"
+#: The bounds of g, from its vertices once.
+_BOUNDS = f"transform(array({_FLAT}), f -> {_BOX})[0]"
 
 
 def bounds_sql() -> str:
-    box = f"named_struct('xmin', {_axis('min', 'x')}, 'ymin', {_axis('min', 'y')}, 'xmax', {_axis('max', 'x')}, 'ymax', {_axis('max', 'y')})"
-    return f"CASE WHEN g IS NULL THEN CAST(NULL AS {BOUNDS}) WHEN {_USABLE} THEN CAST({_REFUSED} AS {BOUNDS}) ELSE {box} END"
+    return f"CASE WHEN g IS NULL THEN CAST(NULL AS {BOUNDS}) WHEN {_USABLE} THEN CAST({_REFUSED} AS {BOUNDS}) ELSE {_BOUNDS} END"
 
 
 def envelope_sql() -> str:
-    x0, y0, x1, y1 = _axis("min", "x"), _axis("min", "y"), _axis("max", "x"), _axis("max", "y")
-    corner = lambda x, y: f"named_struct('x', {x}, 'y', {y}, 'z', CAST(NULL AS DOUBLE))"
-    ring = ", ".join(corner(x, y) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0)))
-    coords = f"IF({x0} IS NULL OR {y0} IS NULL, CAST(array() AS {COORDS}), array(array(array({ring}))))"
+    corner = lambda x, y: f"named_struct('x', b.{x}, 'y', b.{y}, 'z', CAST(NULL AS DOUBLE))"
+    ring = ", ".join(corner(x, y) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")))
+    coords = f"transform(array({_BOUNDS}), b -> IF(b.xmin IS NULL OR b.ymin IS NULL, CAST(array() AS {COORDS}), array(array(array({ring})))))[0]"
     return f"CASE WHEN g IS NULL THEN CAST(NULL AS {GEOMETRY}) WHEN {_USABLE} THEN CAST({_REFUSED} AS {GEOMETRY}) ELSE named_struct('kind', 'Polygon', 'dims', 2, 'coords', {coords}, 'wkt', CAST(NULL AS STRING)) END"
 
 
@@ -133,8 +128,10 @@ def st_envelope(g: Column | str) -> Column:
 
 
 def st_bounds(g: Column | str) -> Column:
-    """xmin, ymin, xmax and ymax of the vertices, NaN left out an axis; NULL fields without any."""
-    return _call("st_bounds", g)
+    """xmin, ymin, xmax and ymax of the vertices, NaN left out an axis; NULL fields without any. Those of a column that
+    ``point`` has just made come from its ordinates."""
+    known = getattr(g, "__dict__", {}).get("_lodestrata_bounds")
+    return _call("st_bounds", g) if known is None else known
 
 
 def st_extent(g: Column | str, null_if_empty: bool = False) -> Column:
@@ -172,7 +169,10 @@ def point(x: Column, y: Column, z: Column | None = None) -> Column:
     present = x.isNotNull() & y.isNotNull() if z is None else x.isNotNull() & y.isNotNull() & z.isNotNull()
     x, y = x.cast("double"), y.cast("double")
     some = F.array(F.array(F.array(vertex(x, y, z))))
-    return _geometry("Point", F.when(F.isnan(x) & F.isnan(y), F.array().cast(COORDS)).otherwise(some.cast(COORDS)), present, 2 if z is None else 3)
+    g = _geometry("Point", F.when(F.isnan(x) & F.isnan(y), F.array().cast(COORDS)).otherwise(some.cast(COORDS)), present, 2 if z is None else 3)
+    sides = (v for v in (x, y, x, y))
+    g._lodestrata_bounds = F.when(present, F.struct(*(F.when(~F.isnan(v), v).alias(name) for (name, _, _), v in zip(_SIDES, sides, strict=True))))
+    return g
 
 
 def line_string(vertices: Column, dims: int = 2) -> Column:
