@@ -510,6 +510,9 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
 
 # ---------------------------------------------------------------- encoder
 
+#: Colours of a palette at most, and bits of the colour cache.
+COLOURS, CACHE = 16, 8
+
 
 class Writer:
     def __init__(self):
@@ -618,42 +621,60 @@ def _length_code(run: int) -> tuple[int, int, int]:
     return 2 * top + half, (run - 1) & ((1 << (top - 1)) - 1), top - 1
 
 
-def encode_frame(samples: np.ndarray, width: int) -> bytes:
-    """A VP8L stream of ``samples`` (bytes, 4 a pixel). Runs of one pixel become back-references."""
-    pixels = np.ascontiguousarray(samples).view("<u4")
-    w = Writer()
-    w.put(0x2F, 8), w.put(width - 1, 14), w.put(len(pixels) // width - 1, 14), w.put(1, 1), w.put(0, 3)
-    w.put(0, 1), w.put(0, 1), w.put(0, 1)  # no transform, no colour cache, one group of codes
+def _runs(pixels: np.ndarray) -> list[tuple[int, int]]:
+    """Where runs of the pixel before go on for 4 or more, in pieces of at most 4096."""
     same = pixels[1:] == pixels[:-1]
-    runs: list[tuple[int, int]] = []
-    if same.any():
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
-        for a, b in edge.reshape(-1, 2).tolist():
-            runs += [(a + 1 + i, min(4096, b - a - i)) for i in range(0, b - a, 4096) if min(4096, b - a - i) >= 4]
+    if not same.any():
+        return []
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], same.astype(np.int8), [0]])))
+    return [(a + 1 + i, min(4096, b - a - i)) for a, b in edge.reshape(-1, 2).tolist() for i in range(0, b - a, 4096) if min(4096, b - a - i) >= 4]
+
+
+def _slots(pixels: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each pixel in a colour cache, and whether the cache holds it just then."""
+    slot = (pixels.astype(np.uint32) * np.uint32(0x1E35A7BD) >> np.uint32(32 - bits)).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    held = np.zeros(len(pixels), bool)
+    held[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    return slot, held
+
+
+def _coded(pixels: np.ndarray, top: bool, cache: int = 0) -> tuple[Writer, np.ndarray, np.ndarray]:
+    """An entropy-coded image: its head, and each symbol's bits and their number. ``cache``: bits of a colour cache."""
+    w = Writer()
+    w.put(int(cache > 0), 1)
+    if cache:
+        w.put(cache, 4)
+    if top:
+        w.put(0, 1)  # one group of codes
+    runs = _runs(pixels)
     keep = np.ones(len(pixels), bool)
     for a, n in runs:
         keep[a : a + n] = False
-    body = pixels[keep]
+    slot, held = _slots(pixels, cache) if cache else (np.zeros(len(pixels), np.int64), np.zeros(len(pixels), bool))
+    body, slot, held = pixels[keep], slot[keep], held[keep]
     raw = body.view(np.uint8).reshape(-1, 4)
-    lengths = code_lengths(np.bincount(raw.reshape(-1), minlength=256))
-    greens = np.zeros(LITERALS + LENGTHS, np.int64)
+    own = raw[~held]
+    rest_lengths = code_lengths(np.bincount(own.reshape(-1), minlength=256))
     codes = [_length_code(n) for _, n in runs]
-    if codes:
-        extra = np.bincount([LITERALS + c for c, _, _ in codes], minlength=LITERALS + LENGTHS)
-        extra[:LITERALS] = np.bincount(raw[:, 1], minlength=256)
-        greens = code_lengths(extra)
+    if codes or cache:
+        counts = np.bincount(np.concatenate([own[:, 1].astype(np.int64), LITERALS + LENGTHS + slot[held], np.array([LITERALS + c for c, _, _ in codes], np.int64)]), minlength=LITERALS + LENGTHS + (1 << cache if cache else 0))
+        greens = code_lengths(counts)
     else:
-        greens[:LITERALS] = lengths
+        greens = np.zeros(LITERALS + LENGTHS, np.int64)
+        greens[:LITERALS] = rest_lengths
+    if not rest_lengths.any():
+        rest_lengths[0] = 1
     _put_code(w, greens)
     rest = Writer()
-    _put_code(rest, lengths)
+    _put_code(rest, rest_lengths)
     for _ in range(3):
         w.put(rest.value, rest.at)
     lone = np.zeros(DISTANCES, np.int64)
     lone[1 if runs else 0] = 1  # the pixel to the left is distance code 2
     _put_code(w, lone)
     free = lambda x: np.zeros(len(x), np.int64) if np.count_nonzero(x) == 1 else x
-    of_green, of_rest, put_green, put_rest = free(greens), free(lengths), canonical(greens).astype(np.uint64), canonical(lengths).astype(np.uint64)
+    of_green, of_rest, put_green, put_rest = free(greens), free(rest_lengths), canonical(greens).astype(np.uint64), canonical(rest_lengths).astype(np.uint64)
     if not of_green.any():
         put_green[:] = 0
     if not of_rest.any():
@@ -665,12 +686,55 @@ def encode_frame(samples: np.ndarray, width: int) -> bytes:
     u = np.uint64
     values = put_green[g] | put_rest[r] << n1.astype(u) | put_rest[b] << n2.astype(u) | put_rest[a] << n3.astype(u)
     sizes = n3 + of_rest[a]
+    if held.any():
+        known = LITERALS + LENGTHS + slot[held]
+        values[held], sizes[held] = put_green[known], of_green[known]
     if runs:
         at = np.cumsum(keep)  # a run stands after the pixels kept before it
         where = [int(at[s - 1]) for s, _ in runs]
         values = np.insert(values, where, [int(put_green[LITERALS + c]) | x << int(of_green[LITERALS + c]) for c, x, _ in codes])
         sizes = np.insert(sizes, where, [int(of_green[LITERALS + c]) + n for c, _, n in codes])
-    return _packed(w, values.astype(u), sizes)
+    return w, values.astype(u), sizes
+
+
+def _indexed(pixels: np.ndarray, width: int, palette: np.ndarray) -> np.ndarray:
+    """The pixels as places in an ascending palette, several to a pixel, in the green channel."""
+    bits = bundle_bits(len(palette))
+    each = 1 << bits
+    rows = np.searchsorted(palette, pixels).reshape(-1, width)
+    rows = np.pad(rows, ((0, 0), (0, -width % each))).reshape(len(rows), -1, each)
+    return ((rows << (np.arange(each) * (8 >> bits))).sum(2) << 8).reshape(-1).astype("<u4")
+
+
+def encode_frame(samples: np.ndarray, width: int) -> bytes:
+    """A VP8L stream of ``samples`` (bytes, 4 a pixel). Runs of one pixel become back-references; a palette of at most ``COLOURS``
+    colours, or a colour cache for other frames, is used where it makes the stream shorter."""
+    pixels = np.ascontiguousarray(samples).view("<u4")
+    w = Writer()
+    w.put(0x2F, 8), w.put(width - 1, 14), w.put(len(pixels) // width - 1, 14), w.put(1, 1), w.put(0, 3)
+    found = []  # bits, palette, coded image
+    plain = _coded(pixels, True)
+    found.append((plain[0].at + int(plain[2].sum()), None, plain))
+    some = np.unique(pixels[: 4 * COLOURS])
+    palette = np.unique(pixels) if len(some) <= COLOURS else some
+    if len(palette) <= COLOURS:
+        small = palette.view(np.uint8).reshape(-1, 4)
+        deltas = np.diff(small, axis=0, prepend=np.zeros((1, 4), np.uint8)).reshape(-1).view("<u4")  # each channel modulo 256
+        colours = _coded(deltas, False)
+        image = _coded(_indexed(pixels, width, palette), True)
+        found.append((11 + colours[0].at + int(colours[2].sum()) + image[0].at + int(image[2].sum()), (palette, colours), image))
+    elif len(pixels) >= 1 << CACHE:
+        cached = _coded(pixels, True, CACHE)
+        found.append((cached[0].at + int(cached[2].sum()), None, cached))
+    _, indexed, (head, values, sizes) = min(found, key=lambda x: x[0])
+    if indexed:
+        palette, (own, codes, lengths) = indexed
+        w.put(1, 1), w.put(3, 2), w.put(len(palette) - 1, 8), w.put(own.value, own.at)
+        for code, n in zip(codes.tolist(), lengths.tolist(), strict=True):
+            w.put(code, n)
+    w.put(0, 1)  # no further transform
+    w.put(head.value, head.at)
+    return _packed(w, values, sizes)
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:

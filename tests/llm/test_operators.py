@@ -715,3 +715,19 @@ def test_shards_equal_a_plain_tree(spark):
         region = least(r["key"], [(f"region{x[0][0][0]}", sum(w for k in x for _, w in k), x) for x in sharding.tree(17)])[2]
         rack = least(r["key"], [(f"rack{k[0][0]}", sum(w for _, w in k), k) for k in region])[2]
         assert r["shard"] == least(r["key"], [(f"shard{s}", w, s) for s, w in rack])[2]
+
+
+def test_stored_forms_take_palette_and_cache():
+    """Frames whose stream is shorter with a palette or a colour cache use it, and all read back as they were."""
+    random.seed(15)
+    words = ["".join(random.choices("abcdefgh", k=4)) for _ in range(60)]
+    texts = {"palette": b"word " * 4000, "palette of two": b"aaaabbbb" * 999, "cache": "".join(random.choices(words, k=4000)).encode(), "plain": bytes(random.choices(range(256), k=64 * 64)), "zero": b""}
+    bits = {}
+    for name, raw in texts.items():
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        file = webp.encode(payload)
+        assert media.samples_of(webp.decode([file])[0]) == payload, name
+        first = webp.frames_of(file)[0]
+        word = int.from_bytes(first[:16], "little") >> 40
+        bits[name] = "palette" if word & 7 == 7 else "cache" if not word & 1 and word & 2 else "plain"
+    assert bits == {"palette": "palette", "palette of two": "palette", "cache": "cache", "plain": "plain", "zero": bits["zero"]}
