@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestrata.llm import oracles
 from lodestrata.llm.byte_bpe import op8_byte_bpe
 from lodestrata.llm.media import op10_media
 from lodestrata.llm.ngram_join import op3_ngram_join
@@ -34,4 +35,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_topk": OP9_SQL}
+    return {"op9_topk": OP9_SQL} | oracles.oracle_sql()

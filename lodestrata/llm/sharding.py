@@ -89,7 +89,7 @@ def shards(docs: DataFrame, count: int = 16, weights: dict[int, float] | None =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
     rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies"))
     rows = with_shard(with_shard(rows, key, tree(count, weights), "shard"), key, tree(count + 1, weights), "grown_shard")
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(buckets)).cast("int"))
+    rows = rows.withColumn("bucket", (F.conv(F.substring(F.md5(F.concat_ws("|", "doc_id", "size", "text_crc32")), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     counts = rows.groupBy("shard", "bucket").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select(F.col("shard").alias("of_shard"), F.col("bucket").alias("of_bucket"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

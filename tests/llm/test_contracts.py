@@ -223,3 +223,8 @@ def test_empty_tables(spark, tmp_path, name):
     for table, columns in (("documents", "doc_id long, text string"), ("labels", "doc_id long, toxic int"), ("embeddings", "vec_id long, embedding array<float>")):
         spark.createDataFrame([], columns).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert Q[name](spark, str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_query_equals_sql(spark, sf, name):
+    check(spark, sf, Q[name], registry.oracle_sql()[name])
