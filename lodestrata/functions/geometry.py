@@ -2,7 +2,7 @@
 
 A geometry is a struct that carries its own kind, so that it passes through aliases, subqueries, unions and joins:
 ``kind`` (Point, LineString, Polygon, MultiPoint, MultiLineString, MultiPolygon, GeometryCollection, Unknown or
-Mixed), ``dims`` (2 or 3), ``coords`` (parts of rings of vertices) and, for collections only, ``wkt``. Layouts:
+Mixed), ``dims`` (2 or 3), ``coords`` (parts of rings of vertices) and, for collections and measured ones only, ``wkt``. Layouts:
 
     Point [[[p]]] or []     LineString, MultiPoint [[[p, ..]]]     Polygon, MultiLineString [[ring, ..]]
     MultiPolygon [[ring, ..], ..]     GeometryCollection [[[all vertices]]]
@@ -64,7 +64,7 @@ def as_text_sql() -> str:
     points = f"concat('(', array_join(transform(g.coords[0][0], p -> IF(isnan(p.x) AND isnan(p.y), 'EMPTY', concat('(', {_vertex('p')}, ')'))), ','), ')')"
     polygons = f"concat('(', array_join(transform(g.coords, q -> IF(size(q) = 0 OR size(q[0]) = 0, 'EMPTY', {_lines('q', 'r')})), ','), ')')"
     return (
-        f"CASE WHEN g IS NULL THEN CAST(NULL AS STRING) WHEN {_USABLE} THEN CAST({_REFUSED} AS STRING) WHEN g.kind = 'GeometryCollection' THEN g.wkt "
+        f"CASE WHEN g IS NULL THEN CAST(NULL AS STRING) WHEN {_USABLE} THEN CAST({_REFUSED} AS STRING) WHEN g.wkt IS NOT NULL THEN g.wkt "
         f"WHEN g.kind = 'Point' THEN {_tagged('POINT', no_vertex + ' OR (isnan(g.coords[0][0][0].x) AND isnan(g.coords[0][0][0].y))', point)} "
         f"WHEN g.kind = 'LineString' THEN {_tagged('LINESTRING', no_vertex, _line('g.coords[0][0]', 'v'))} "
         f"WHEN g.kind = 'Polygon' THEN {_tagged('POLYGON', no_vertex, _lines('g.coords[0]', 'r'))} "

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geometry as G
+from lodestrata.functions.wkb import from_wkb, from_wkt, to_wkb, wkb_geometry_type
 from lodestrata.operators.extent import SIDES, extent, extent_over, extent_rollup, extent_where
 from lodestrata.plans.sql import sql
 
@@ -159,7 +160,66 @@ def sql_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("flag", "kinds", "e.*")
 
 
+def wkb_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines through well-known binary and back: kind from the header, text, envelope."""
+    wkb = _vertices(spark, sf_dir).select("l_orderkey", to_wkb(G.line_string(F.col("vs"))).alias("wkb"))
+    back = wkb.select("l_orderkey", wkb_geometry_type("wkb").alias("kind"), from_wkb("wkb").alias("g"))
+    return back.select("l_orderkey", "kind", G.st_as_text("g").alias("wkt"), G.st_as_text(G.st_envelope("g")).alias("box"))
+
+
+def wkb_point_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, point = _customer(spark, sf_dir)
+    return extent(df.select("c_mktsegment", from_wkb(to_wkb(point)).alias("g")), F.col("g"), ["c_mktsegment"])
+
+
+def wkt_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of points, read in SQL, back as text, kind and extent."""
+    _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('POINT(', s_acctbal, ' ', s_suppkey, ')') AS t").createOrReplaceTempView("lodestrata_texts")
+    return sql(spark, "SELECT s_suppkey, ST_AsText(g) AS wkt, ST_GeometryType(g) AS kind FROM (SELECT s_suppkey, ST_GeomFromText(t) AS g FROM lodestrata_texts)")
+
+
+def wkt_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections and measured lines from text, through well-known binary."""
+    rows = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "concat('GEOMETRYCOLLECTION (POINT (', s_acctbal, ' 1), LINESTRING (0 0, ', s_suppkey, ' 2), MULTIPOINT ((1 1), EMPTY))') AS c", "concat('LINESTRING ZM (0 0 1 2, ', s_suppkey, ' 2 3 4)') AS m")
+    g = lambda c: from_wkb(to_wkb(from_wkt(c)))
+    rows = rows.select("s_suppkey", g("c").alias("c"), g("m").alias("m"))
+    return rows.select("s_suppkey", G.st_as_text("c").alias("collection"), G.st_as_text("m").alias("measured"), G.st_geometry_type("c").alias("kind"), G.st_as_text(G.st_envelope("c")).alias("box"))
+
+
+def extent_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, point = _lineitem(spark, sf_dir)
+    df.select("l_returnflag", "l_linestatus", point.alias("geometry")).createOrReplaceTempView("lodestrata_cube")
+    found = sql(spark, "SELECT l_returnflag, l_linestatus, ST_Extent(geometry) AS e FROM lodestrata_cube GROUP BY CUBE (l_returnflag, l_linestatus)")
+    return found.select("l_returnflag", "l_linestatus", "e.*")
+
+
+def extent_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, point = _lineitem(spark, sf_dir)
+    df.select("l_returnflag", "l_linestatus", point.alias("geometry")).createOrReplaceTempView("lodestrata_sets")
+    found = sql(spark, "SELECT l_returnflag, l_linestatus, ST_Extent(geometry) AS e FROM lodestrata_sets GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+    return found.select("l_returnflag", "l_linestatus", "e.*")
+
+
+def _joined(how: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        customer = _table(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", G.point(F.col("c_acctbal"), F.col("c_custkey")).alias("g"))
+        orders = _table(spark, sf_dir, "orders").where("o_totalprice > 300000").select("o_custkey")
+        return extent(customer.join(orders, F.col("c_custkey") == F.col("o_custkey"), how), F.col("g"), ["c_mktsegment"])
+
+    return run
+
+
 _QUERIES = {
+    "wkb_line": wkb_line,
+    "wkb_point_extent": wkb_point_extent,
+    "wkt_parsed": wkt_parsed,
+    "wkt_collections": wkt_collections,
+    "extent_cube": extent_cube,
+    "extent_grouping_sets": extent_grouping_sets,
+    "extent_left_join": _joined("left"),
+    "extent_full_join": _joined("full"),
+    "extent_semi_join": _joined("left_semi"),
+    "extent_anti_join": _joined("left_anti"),
     "extent_points": extent_points,
     "extent_group": extent_group,
     "extent_filter": extent_filter,
@@ -208,7 +268,20 @@ _ODD = "list_transform(range(1, len(embedding), 2), lambda i: embedding[i + 1]::
 
 def oracle_sql() -> dict[str, str]:
     lines = _bounds("l_extendedprice", "l_quantity")
+    of_customer = f"SELECT c_mktsegment, {_bounds('c_acctbal', 'c_custkey')} FROM customer"
+    of_orders = "(SELECT o_custkey FROM orders WHERE o_totalprice > 300000) ON c_custkey = o_custkey GROUP BY c_mktsegment"
+    point, key = "s_acctbal::DOUBLE::VARCHAR", "s_suppkey::DOUBLE::VARCHAR"
     return {
+        "wkb_line": f"SELECT l_orderkey, 'ST_LineString' AS kind, 'LINESTRING (' || string_agg({_Q} || ' ' || {_P}, ',' {_ORDERED}) || ')' AS wkt, any_value(box) AS box FROM lineitem JOIN (SELECT l_orderkey, 'POLYGON ((' || {_RING} || '))' AS box FROM {_BOX}) USING (l_orderkey) GROUP BY l_orderkey",
+        "wkb_point_extent": of_customer + " GROUP BY c_mktsegment",
+        "wkt_parsed": f"SELECT s_suppkey, 'POINT (' || {point} || ' ' || {key} || ')' AS wkt, 'ST_Point' AS kind FROM supplier",
+        "wkt_collections": f"SELECT s_suppkey, 'GEOMETRYCOLLECTION (POINT (' || {point} || ' 1.0),LINESTRING (0.0 0.0,' || {key} || ' 2.0),MULTIPOINT ((1.0 1.0),EMPTY))' AS collection, 'LINESTRING ZM (0.0 0.0 1.0 2.0,' || {key} || ' 2.0 3.0 4.0)' AS measured, 'ST_GeometryCollection' AS kind, 'POLYGON ((' || x0 || ' 0.0,' || x1 || ' 0.0,' || x1 || ' 2.0,' || x0 || ' 2.0,' || x0 || ' 0.0))' AS box FROM (SELECT *, least(s_acctbal::DOUBLE, 0, 1)::DOUBLE::VARCHAR AS x0, greatest(s_acctbal::DOUBLE, s_suppkey::DOUBLE, 1)::DOUBLE::VARCHAR AS x1 FROM supplier)",
+        "extent_cube": f"SELECT l_returnflag, l_linestatus, {lines} FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+        "extent_grouping_sets": f"SELECT l_returnflag, l_linestatus, {lines} FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())",
+        "extent_left_join": f"{of_customer} LEFT JOIN {of_orders}",
+        "extent_full_join": f"{of_customer} FULL JOIN {of_orders}",
+        "extent_semi_join": f"{of_customer} SEMI JOIN {of_orders}",
+        "extent_anti_join": f"{of_customer} ANTI JOIN {of_orders}",
         "extent_points": f"SELECT {_bounds('c_acctbal', 'c_custkey')} FROM customer",
         "extent_group": f"SELECT l_returnflag, {lines} FROM lineitem GROUP BY l_returnflag",
         "extent_filter": f"SELECT l_returnflag, {_bounds('l_extendedprice', 'l_quantity', ' FILTER (WHERE l_discount > 0.05)')} FROM lineitem GROUP BY l_returnflag",

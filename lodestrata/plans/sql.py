@@ -12,6 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestrata.functions.geometry import LARGEST, register
+from lodestrata.functions.wkb import register_formats
 
 _TOKEN = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|\w+|\s+|.", re.S)
 
@@ -85,4 +86,6 @@ def sql(spark: SparkSession, text: str) -> DataFrame:
     """``spark.sql`` with all ST functions, ST_Extent among them."""
     if not spark.catalog.functionExists("st_bounds"):
         register(spark)
+    if not spark.catalog.functionExists("st_geomfromtext"):
+        register_formats(spark)
     return spark.sql(expand(text))

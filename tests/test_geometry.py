@@ -203,3 +203,56 @@ def test_stream(spark, sf, tmp_path):
     want = {(r["window"]["start"], r["event_type"], r["xmin"], r["ymax"]) for r in batch.collect()}
     got = {(r["window_start"], r["event_type"], r["xmin"], r["ymax"]) for r in spark.table("extents").collect()}
     assert got == want and got
+
+
+TEXTS = [
+    "POINT (1.0 -2.5)", "POINT Z (1.0 2.0 3.0)", "POINT M (1.0 2.0 9.0)", "POINT ZM (1.0 2.0 3.0 9.0)", "POINT EMPTY", "LINESTRING (0.0 0.0,1.0 1e16)", "LINESTRING EMPTY",
+    "POLYGON ((0.0 0.0,4.0 0.0,4.0 4.0,0.0 0.0),(1.0 1.0,2.0 1.0,2.0 2.0,1.0 1.0))", "MULTIPOINT ((1.0 2.0),EMPTY)", "MULTILINESTRING M ((0.0 0.0 1.0,1.0 1.0 2.0))",
+    "MULTIPOLYGON (((0.0 0.0,1.0 0.0,1.0 1.0,0.0 0.0)),EMPTY)", "GEOMETRYCOLLECTION (POINT (1.0 2.0),GEOMETRYCOLLECTION (LINESTRING (0.0 0.0,1.0 1.0)),POLYGON EMPTY)", None,
+]
+
+
+def test_text_and_binary_round_trip(spark):
+    from lodestrata.functions.wkb import from_wkb, from_wkt, to_wkb, wkb_geometry_type
+
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "i int, t string").repartition(1)
+    binary = rows.select("i", "t", to_wkb(from_wkt("t")).alias("w"))
+    out = binary.select("i", "t", G.st_as_text(from_wkb("w")).alias("back"), wkb_geometry_type("w").alias("kind")).collect()
+    for r in out:
+        assert r["back"] == r["t"]
+        if r["t"]:
+            name, tag = r["t"].split(" ")[0], r["t"].split(" ")[1]
+            assert r["kind"].upper() == f"ST_{name}{tag if tag in ('Z', 'M', 'ZM') else ''}"
+
+
+def test_points_are_decoded_together():
+    import math
+    import struct
+
+    import pyarrow as pa
+
+    from lodestrata.functions import wkb
+
+    point = lambda x, y: b"\x01\x01\0\0\0" + struct.pack("<dd", x, y)
+    rows = [point(1, 2), None, point(math.nan, math.nan), point(3, math.inf)]
+    own = pa.array([b"skipped", *rows], pa.binary()).slice(1)
+    found = wkb._points(own)
+    assert found is not None and found.to_pylist() == [wkb.decoded(x) for x in rows]
+    assert wkb._points(pa.array([b"\0\0\0\0\1" + struct.pack(">dd", 1, 2)])) is None and wkb._points(pa.array([], pa.binary())) is None
+
+
+@pytest.mark.parametrize("bad", ["", "POINT", "POINT (1)", "POINT (1 2", "CIRCLE (1 2)", "POINT (1 2) 3", "POINT (a b)", "LINESTRING ((1 2))"])
+def test_malformed_text(bad):
+    from lodestrata.functions import wkb
+
+    with pytest.raises(ValueError):
+        wkb._Words(bad).whole()
+
+
+def test_bounds_are_worked_out_once(spark, sf):
+    from lodestrata.plans import catalog
+
+    plan = catalog.queries()["envelope_linestring"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_min(array_remove") <= 2 and len(plan) < 20_000
+    plan = catalog.queries()["extent_group"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "flatten" not in plan and "array(" not in plan
