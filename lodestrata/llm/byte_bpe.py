@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import python_ready, table
 
-REMEMBERED = 500_000
+#: Words whose ids a task remembers at most, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 #: Bits of a place in a pre-token.
 PLACE = 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -150,7 +151,9 @@ class Encoder:
         found = self.parts.get(piece)
         if found is None:
             ids = self.codec.word(piece.encode())
-            found = self.parts[piece] = (" ".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids))
+            found = (" ".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids))
+            if len(piece) <= LONGEST:
+                self.parts[piece] = found
         return found
 
     def span(self, text: str) -> list[int]:
@@ -175,6 +178,8 @@ class Encoder:
             if w not in known:
                 known[w] = self._learn(w)
         found = [known[w] for w in words]
+        for w in [w for w in words if len(w) > LONGEST]:  # what is remembered stays small in bytes, too
+            known.pop(w, None)
         if None in found or first and first[-1].isspace():
             return self._whole(text)
         head = self.span(first)

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import python_ready, table
 
 CAPACITY, MAX_ITEM, BLOCK_ITEMS, END_ID = 4096, 1024, 768, 2
-#: Words whose ids a task remembers at most.
-REMEMBERED = 500_000
+#: Words whose ids a task remembers at most, and the longest of them.
+REMEMBERED, LONGEST = 500_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -95,7 +95,9 @@ class Known(dict):
         self.learn = learn
 
     def __missing__(self, word: str) -> bytes:
-        found = self[word] = self.learn(word) if word else b""
+        found = self.learn(word) if word else b""
+        if len(word) <= LONGEST:
+            self[word] = found
         return found
 
 

@@ -16,12 +16,13 @@ def with_matches(df: DataFrame, name: str, text: str, pattern: str, if_contains:
 
     ``if_contains``: a string that every match contains; texts without it are not searched.
     """
-    found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
+    own = F.coalesce(F.col(text), F.lit(""))
+    found = F.regexp_extract_all(own, F.lit(pattern), F.lit(0))
     if if_contains is not None:
-        found = F.when(F.contains(F.col(text), F.lit(if_contains)), found).otherwise(F.array().cast("array<string>"))
+        found = F.when(F.contains(own, F.lit(if_contains)), found).otherwise(F.array().cast("array<string>"))
     df = df.withColumn(f"_m_{name}", found)
     m = F.col(f"_m_{name}")
-    df = df.withColumn(f"_p_{name}", F.when(F.size(m) > 0, F.split(F.col(text), pattern, -1)).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn(f"_p_{name}", F.when(F.size(m) > 0, F.split(own, pattern, -1)).otherwise(F.array().cast("array<string>")))
     gaps = F.zip_with(m, F.slice(F.col(f"_p_{name}"), F.lit(1), F.size(m)), lambda a, b: F.struct(F.length(b).alias("gap"), a.alias("m")))
 
     def step(acc: Column, x: Column) -> Column:

@@ -510,8 +510,8 @@ def decode(files: list[bytes]) -> list[list[np.ndarray]]:
 
 # ---------------------------------------------------------------- encoder
 
-#: Colours of a palette at most, and bits of the colour cache.
-COLOURS, CACHE = 16, 8
+#: Colours of a palette at most, bits of the colour cache, and pixels it has to hold to be worth its longer code.
+COLOURS, CACHE, WORTH = 16, 8, 128
 
 
 class Writer:
@@ -708,25 +708,23 @@ def _indexed(pixels: np.ndarray, width: int, palette: np.ndarray) -> np.ndarray:
 
 def encode_frame(samples: np.ndarray, width: int) -> bytes:
     """A VP8L stream of ``samples`` (bytes, 4 a pixel). Runs of one pixel become back-references; a palette of at most ``COLOURS``
-    colours, or a colour cache for other frames, is used where it makes the stream shorter."""
+    colours is used where it makes the stream shorter, a colour cache where it holds ``WORTH`` pixels of another frame."""
     pixels = np.ascontiguousarray(samples).view("<u4")
     w = Writer()
     w.put(0x2F, 8), w.put(width - 1, 14), w.put(len(pixels) // width - 1, 14), w.put(1, 1), w.put(0, 3)
-    found = []  # bits, palette, coded image
-    plain = _coded(pixels, True)
-    found.append((plain[0].at + int(plain[2].sum()), None, plain))
     some = np.unique(pixels[: 4 * COLOURS])
     palette = np.unique(pixels) if len(some) <= COLOURS else some
+    indexed = None
     if len(palette) <= COLOURS:
+        head, values, sizes = _coded(pixels, True)
         small = palette.view(np.uint8).reshape(-1, 4)
         deltas = np.diff(small, axis=0, prepend=np.zeros((1, 4), np.uint8)).reshape(-1).view("<u4")  # each channel modulo 256
-        colours = _coded(deltas, False)
-        image = _coded(_indexed(pixels, width, palette), True)
-        found.append((11 + colours[0].at + int(colours[2].sum()) + image[0].at + int(image[2].sum()), (palette, colours), image))
-    elif len(pixels) >= 1 << CACHE:
-        cached = _coded(pixels, True, CACHE)
-        found.append((cached[0].at + int(cached[2].sum()), None, cached))
-    _, indexed, (head, values, sizes) = min(found, key=lambda x: x[0])
+        colours, image = _coded(deltas, False), _coded(_indexed(pixels, width, palette), True)
+        if 11 + colours[0].at + int(colours[2].sum()) + image[0].at + int(image[2].sum()) < head.at + int(sizes.sum()):
+            indexed, (head, values, sizes) = (palette, colours), image
+    else:
+        worth = len(pixels) >= 2 * WORTH and np.count_nonzero(_slots(pixels, CACHE)[1]) >= WORTH
+        head, values, sizes = _coded(pixels, True, CACHE if worth else 0)
     if indexed:
         palette, (own, codes, lengths) = indexed
         w.put(1, 1), w.put(3, 2), w.put(len(palette) - 1, 8), w.put(own.value, own.at)
