@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import python_ready, table
 
 #: Words whose ids a task remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 #: Bits of a place in a pre-token.
 PLACE = 40
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -139,13 +139,35 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+class Known(dict):
+    """What ``learn`` gives for a word; of long words nothing is remembered. Past ``REMEMBERED`` words only those of the
+    last round and the one before are kept, so that frequent words stay."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.before = learn, {}
+
+    def __missing__(self, word: str):
+        found = self.before.get(word, self)
+        if found is self:
+            found = self.learn(word)
+        if len(word) <= LONGEST:
+            self[word] = found
+        return found
+
+    def bound(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
+
 class Encoder:
     def __init__(self, codec: Codec, pattern: str):
         import regex
 
         self.codec, self.split = codec, regex.compile(pattern).findall
         self.parts: dict[str, tuple] = {}  # of pre-tokens
-        self.known: dict[str, tuple | None] = {}  # of a space and a word
+        self.known = Known(self._learn)  # of a space and a word
 
     def _part(self, piece: str) -> tuple[str, bytes]:
         found = self.parts.get(piece)
@@ -170,16 +192,10 @@ class Encoder:
         """The ids as decimal numbers joined by a space, and as a list."""
         first, *words = text.split(" ")
         known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
+        known.bound()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        for w in words:
-            if w not in known:
-                known[w] = self._learn(w)
-        found = [known[w] for w in words]
-        for w in [w for w in words if len(w) > LONGEST]:  # what is remembered stays small in bytes, too
-            known.pop(w, None)
+        found = list(map(known.__getitem__, words))
         if None in found or first and first[-1].isspace():
             return self._whole(text)
         head = self.span(first)
@@ -191,10 +207,20 @@ class Encoder:
         return " ".join(map(str, ids)), ids
 
 
+_last: list = []
+
+
+def _encoder(codec: Codec, pattern: str) -> Encoder:
+    """The encoder that the tasks of a Python worker use one after the other, with the words it remembers."""
+    if not _last or _last[0] is not codec or _last[1] != pattern:
+        _last[:] = [codec, pattern, Encoder(codec, pattern)]
+    return _last[2]
+
+
 def _digests(shipped, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shipped.value
-        encoder = Encoder(codec, pattern)
+        encoder = _encoder(codec, pattern)
         for rows in batches:
             out = []
             for text in rows.column(1).to_pylist():
@@ -209,7 +235,7 @@ def _digests(shipped, pattern: str):
 def _ids(shipped, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shipped.value
-        encoder = Encoder(codec, pattern)
+        encoder = _encoder(codec, pattern)
         for rows in batches:
             ids = [encoder(text)[1] for text in rows.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])

@@ -30,7 +30,7 @@ from lodestrata.llm.common import python_ready, table
 
 CAPACITY, MAX_ITEM, BLOCK_ITEMS, END_ID = 4096, 1024, 768, 2
 #: Words whose ids a task remembers at most, and the longest of them.
-REMEMBERED, LONGEST = 500_000, 64
+REMEMBERED, LONGEST = 400_000, 64
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -88,18 +88,26 @@ def windows_of(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 class Known(dict):
-    """Words and their ids; a word that is asked for first is learnt."""
+    """What ``learn`` gives for a word; of long words nothing is remembered. Past ``REMEMBERED`` words only those of the
+    last round and the one before are kept, so that frequent words stay."""
 
     def __init__(self, learn):
         super().__init__()
-        self.learn = learn
+        self.learn, self.before = learn, {}
 
-    def __missing__(self, word: str) -> bytes:
-        found = self.learn(word) if word else b""
+    def __missing__(self, word: str):
+        found = self.before.get(word, self)
+        if found is self:
+            found = b"" if not word else self.learn(word)
         if len(word) <= LONGEST:
             self[word] = found
         return found
 
+    def bound(self) -> None:
+        if len(self) > REMEMBERED:
+            self.before = dict(self)
+            self.clear()
+
 
 class WordIds:
     """Ids of texts, as the tokenizers library gives them for the file at ``path``.
@@ -170,17 +178,27 @@ class WordIds:
         """Little-endian unsigned 32-bit ids of each text."""
         out = []
         for text in texts:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
+            self.known.bound()
             out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
         return out
 
 
+_last: dict[str, WordIds] = {}
+
+
+def _word_ids(path: str) -> WordIds:
+    """The encoder that the tasks of a Python worker use one after the other, with the words it remembers."""
+    if path not in _last:
+        _last.clear()
+        _last[path] = WordIds(path)
+    return _last[path]
+
+
 def _pieces(path: str, capacity: int, max_item: int, block_items: int, end_id: int):
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, sequence, out = WordIds(path), TaskContext.get().partitionId() << 33, []
+        ids_of, sequence, out = _word_ids(path), TaskContext.get().partitionId() << 33, []
         items: list[tuple] = []  # doc_id, start, length, crc, doc_tokens
 
         def emit(block: list[tuple]) -> None:
