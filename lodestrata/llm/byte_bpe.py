@@ -87,6 +87,7 @@ class Codec:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens, self.hash, self.ranks = tokens, PerfectHash(tokens), {t: i for i, t in enumerate(tokens)}
+        self.two = [self.ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]  # of pairs of bytes
 
     @classmethod
     def read(cls, path: str) -> Codec:
@@ -105,7 +106,8 @@ class Codec:
         n, rank_of, push, pop = len(piece), self.ranks.get, heapq.heappush, heapq.heappop
         end = list(range(1, n + 1))  # of the part that starts here
         before = list(range(-1, n - 1))
-        pair = [rank_of(piece[a : a + 2], -1) for a in range(n - 1)]  # rank of a part and the next one, or -1
+        two = self.two
+        pair = [two[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # rank of a part and the next one, or -1
         pair.append(-1)
         heap = [rank << PLACE | a for a, rank in enumerate(pair) if rank >= 0]
         heapq.heapify(heap)
@@ -199,8 +201,9 @@ class Encoder:
         if None in found or first and first[-1].isspace():
             return self._whole(text)
         head = self.span(first)
-        joined = " ".join([" ".join(map(str, head)), *(x for x, _ in found)] if head else [x for x, _ in found])
-        return joined, head + np.frombuffer(b"".join(x for _, x in found), "<u4").tolist()
+        numbers, packed = zip(*found, strict=True) if found else ((), ())
+        joined = " ".join([" ".join(map(str, head)), *numbers] if head else numbers)
+        return joined, head + np.frombuffer(b"".join(packed), "<u4").tolist()
 
     def _whole(self, text: str) -> tuple[str, list[int]]:
         ids = self.span(text)
