@@ -22,6 +22,7 @@ P = lambda *v: dict(zip("xyz", map(float, v), strict=False))
 L = lambda *v: [P(*x) for x in v]
 HOLED = [L((35, 10), (45, 45), (15, 40), (10, 20), (35, 10)), L((20, 30), (35, 35), (30, 20), (20, 30))]
 #: kind -> rows of (native value, text, envelope corners or "EMPTY" or None)
+# Geometries and texts that have to come out just so.
 GOLDEN = {
     "Point": [(P(30, 10), "POINT (30.0 10.0)", (30, 10, 30, 10)), (P(NAN, NAN), "POINT EMPTY", "EMPTY"), (None, None, None), (P(40, 40), "POINT (40.0 40.0)", (40, 40, 40, 40))],
     "LineString": [(L((30, 10), (10, 30), (40, 40)), "LINESTRING (30.0 10.0,10.0 30.0,40.0 40.0)", (10, 10, 40, 40)), ([], "LINESTRING EMPTY", "EMPTY"), (None, None, None)],
