@@ -5,7 +5,8 @@ pre-token that is a token itself. Tier two: any other pre-token is merged by a h
 linked list of its bytes, in O(n log n), always the lowest rank and, among equals, the leftmost.
 
 A split at a single space between two other characters never changes the pre-tokens, so a task remembers the ids
-of what stands between spaces; texts with other runs of white space at a space are split by the pattern as a whole.
+of what stands between spaces, and looks each such word up once a batch; texts with other runs of white space at a space
+are split by the pattern as a whole.
 
 The work is one pass over the input: no shuffle, and memory bounded by a batch and the remembered words.
 
@@ -18,11 +19,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,9 +139,6 @@ class Codec:
             a = end[a]
         return ids
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
-
 
 class Known(dict):
     """What ``learn`` gives for a word; of long words nothing is remembered. Past ``REMEMBERED`` words only those of the
@@ -168,46 +167,73 @@ class Encoder:
         import regex
 
         self.codec, self.split = codec, regex.compile(pattern).findall
-        self.parts: dict[str, tuple] = {}  # of pre-tokens
+        self.parts: dict[str, bytes] = {}  # of pre-tokens
         self.known = Known(self._learn)  # of a space and a word
 
-    def _part(self, piece: str) -> tuple[str, bytes]:
+    def _part(self, piece: str) -> bytes:
         found = self.parts.get(piece)
         if found is None:
-            ids = self.codec.word(piece.encode())
-            found = (" ".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids))
+            found = array("i", self.codec.word(piece.encode())).tobytes()
             if len(piece) <= LONGEST:
                 self.parts[piece] = found
         return found
 
-    def span(self, text: str) -> list[int]:
-        return np.frombuffer(b"".join([self._part(p)[1] for p in self.split(text)]), "<u4").tolist()
+    def span(self, text: str) -> bytes:
+        """Ids of ``text``, packed."""
+        return b"".join(map(self._part, self.split(text)))
 
-    def _learn(self, word: str) -> tuple | None:
+    def _learn(self, word: str) -> bytes | None:
         """Ids of a space and ``word``; None where the split at that space may matter."""
         if not word or word[0].isspace() or word[-1].isspace():
             return None
-        found = [self._part(p) for p in self.split(" " + word)]
-        return found[0] if len(found) == 1 else (" ".join([x for x, _ in found]), b"".join([x for _, x in found]))
-
-    def __call__(self, text: str) -> tuple[str, list[int]]:
-        """The ids as decimal numbers joined by a space, and as a list."""
-        first, *words = text.split(" ")
-        known = self.known
-        known.bound()
+        return self.span(" " + word)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where those of each text begin and end.
+
+        Each word between spaces is looked up once a batch; its ids then go to all its places together.
+        """
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known.bound()
         if len(self.parts) > REMEMBERED:
             self.parts.clear()
-        found = list(map(known.__getitem__, words))
-        if None in found or first and first[-1].isspace():
-            return self._whole(text)
-        head = self.span(first)
-        numbers, packed = zip(*found, strict=True) if found else ((), ())
-        joined = " ".join([" ".join(map(str, head)), *numbers] if head else numbers)
-        return joined, head + np.frombuffer(b"".join(packed), "<u4").tolist()
-
-    def _whole(self, text: str) -> tuple[str, list[int]]:
-        ids = self.span(text)
-        return " ".join(map(str, ids)), ids
+        lists = pc.split_pattern(texts, " ")
+        edge = np.asarray(lists.offsets).astype(np.int64)
+        heads, edge = edge[:-1] - edge[0], edge[1:] - edge[0]
+        words = lists.flatten().dictionary_encode()
+        at = np.asarray(words.indices).astype(np.int64)
+        first = np.zeros(len(at), bool)
+        first[heads] = True
+        names, used = words.dictionary.to_pylist(), np.zeros(len(words.dictionary), bool)
+        used[at[~first]] = True
+        found = [self.known[w] if yes else b"" for w, yes in zip(names, used.tolist(), strict=True)]
+        unsure = np.array([x is None for x in found], bool)[at]
+        begins = [names[w] for w in at[heads].tolist()]
+        unsure[heads] = [w[-1:].isspace() for w in begins]
+        apart = np.logical_or.reduceat(unsure, heads)  # texts that are split as a whole
+        at[heads] = len(found) + np.arange(len(heads))  # what a text starts with, or all of it
+        spans = [self.span(texts[i].as_py() if whole else w) for i, (whole, w) in enumerate(zip(apart.tolist(), begins, strict=True))]
+        keep = first | ~np.repeat(apart, edge - heads)
+        packed = [x or b"" for x in found] + spans
+        sizes = np.array([len(x) >> 2 for x in packed], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        count = np.where(keep, sizes[at], 0)
+        ends = np.cumsum(count)
+        place = np.repeat(starts[at] - (ends - count), count) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(packed), np.int32)[place], np.concatenate([[0], ends[edge - 1]])
+
+
+class Bytes:
+    """Byte strings by number, laid out one after the other for many numbers at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.strings = pa.array(strings, pa.large_binary())
+
+    def __call__(self, numbers: np.ndarray) -> tuple[memoryview, np.ndarray]:
+        """The strings of ``numbers``, joined, and where each begins, with the end."""
+        out = self.strings.take(pa.array(numbers))
+        return memoryview(out.buffers()[2] or b""), np.frombuffer(out.buffers()[1], np.int64, len(numbers) + 1) if len(numbers) else np.zeros(1, np.int64)
 
 
 _last: list = []
@@ -222,36 +248,39 @@ def _encoder(codec: Codec, pattern: str) -> Encoder:
 
 def _digests(shipped, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shipped.value
-        encoder = _encoder(codec, pattern)
+        encoder = _encoder(shipped.value, pattern)
+        numbers, tokens = Bytes([b"%d " % i for i in range(len(shipped.value.tokens))]), Bytes(shipped.value.tokens)
+        sha = hashlib.sha256
         for rows in batches:
-            out = []
-            for text in rows.column(1).to_pylist():
-                joined, ids = encoder(text)
-                out.append((len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
-            n, a, b = zip(*out, strict=True) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            ids, edge = encoder(rows.column(1))
+            joined, at = numbers(ids)
+            a = [sha(joined[i : max(i, j - 1)]).hexdigest() for i, j in zip(at[edge[:-1]].tolist(), at[edge[1:]].tolist(), strict=True)]
+            raw, at = tokens(ids)
+            b = [sha(raw[i:j]).hexdigest() for i, j in zip(at[edge[:-1]].tolist(), at[edge[1:]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(edge)), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
 def _ids(shipped, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = shipped.value
-        encoder = _encoder(codec, pattern)
+        encoder = _encoder(shipped.value, pattern)
         for rows in batches:
-            ids = [encoder(text)[1] for text in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+            ids, edge = encoder(rows.column(1))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))], names=["doc_id", "ids"])
 
     return run
 
 
 def _texts(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = shipped.value.decode
+        tokens = Bytes(shipped.value.tokens)
         for rows in batches:
-            raw = [decode(x or []) for x in rows.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(raw, pa.binary())], names=["doc_id", "bytes"])
+            ids = [x or [] for x in rows.column(1).to_pylist()]
+            edge = np.cumsum([0, *map(len, ids)])
+            raw, at = tokens(np.array([i for x in ids for i in x], np.int32))
+            out = [bytes(raw[i:j]) for i, j in zip(at[edge[:-1]].tolist(), at[edge[1:]].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(out, pa.binary())], names=["doc_id", "bytes"])
 
     return run
 
