@@ -48,12 +48,24 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there.
 
     A written table rather than checkpoint(): what Spark infers about a checkpointed plan's columns goes on with
-    it, and grows over the rounds of an iteration until planning takes minutes.
+    it, and grows over the rounds of an iteration until planning takes minutes. The shuffles behind the table are of no
+    more use, but the executors keep their files until the driver's JVM collects garbage: so it is asked to.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` wrote. Nothing that is still to be computed may read them."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

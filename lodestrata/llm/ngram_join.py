@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bitmap, bits_for, cut, holds, python_ready, table
+from lodestrata.llm.common import bitmap, bits_for, cut, drop, holds, python_ready, table
 from lodestrata.llm.components import components
 from lodestrata.llm.shingles import Shingler, signature
 
@@ -334,12 +334,15 @@ def _sized(cells: DataFrame, percent: int) -> DataFrame:
         some = rows.groupBy("region").agg(F.count("*").alias("m"), F.count_if("home").alias("h")).where("m > 1 and h > 0")
         return rows.join(some.select("region"), "region", "left_semi")
 
-    rows = cut(alive(rows))
+    every, rows = rows, cut(alive(rows))
+    drop(every)
     own = Window.partitionBy("sig")  # as many rows as a class has first shingles at most
     live = rows.select("sig", "asked", "pivot", "met").distinct().withColumn("all_met", F.sum("met").over(own)).where("all_met >= asked")
     up_to = F.sum("met").over(own.orderBy("met", "pivot").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     live = live.withColumn("up_to", up_to).where(2 * F.col("up_to") > F.col("asked") - 1)
-    return cut(alive(rows.join(live.select("sig", "pivot"), ["sig", "pivot"], "left_semi")).select("region", "sig", "n", "home"))
+    out = cut(alive(rows.join(live.select("sig", "pivot"), ["sig", "pivot"], "left_semi")).select("region", "sig", "n", "home"))
+    drop(rows)
+    return out
 
 
 def _blocks(cells: DataFrame, large: DataFrame) -> DataFrame:
@@ -375,7 +378,9 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         at = cells.select("region", "sig").join(sets, "sig").join(pivots, "region").select("region", "sig", "s", "pivots")
         at = cut(at.mapInArrow(_located(percent), "region long, sig long, own long, inside array<long>, near array<long>"))
         near = at.select(F.col("sig").alias("a"), F.explode("near").alias("b"))
-        edges = cut(near if edges is None else edges.union(near))
+        known, edges = edges, cut(near if edges is None else edges.union(near))
+        if known is not None:
+            drop(known)
         labels = components(edges)
         split = at.groupBy("region").agg(F.avg(F.size("inside")).alias("spread")).where(F.col("spread") <= SPREAD).select("region", F.lit(True).alias("split"))
         placed = cells.join(at.select("region", "sig", "own", "inside"), ["region", "sig"], "left").join(split, "region", "left")
@@ -387,6 +392,7 @@ def _links(cells: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         most = marked.groupBy("region", "label").agg(F.count("*").alias("k")).groupBy("region").agg(F.max(F.struct("k", "label")).alias("most"))
         kept = marked.join(most, "region").select("region", "sig", "n", (F.col("label") != F.col("most.label")).alias("home"))
         cells = cut(kept.union(parts))
+        drop(at)
     cells = ready[0]
     for more in ready[1:]:
         cells = cells.union(more)
@@ -424,9 +430,13 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tupl
     asked = F.col("depth") - F.when(all_, 0).otherwise(F.col("q"))  # of the shingles that a link shares, these lead to regions
     cells = held.where("met >= depth").select("sig", "n", asked.alias("asked"), F.explode(pivots).alias("pivot")).groupBy("sig", "n", "asked", "pivot").agg(F.count("*").alias("met"))
     cells = _sized(cells, percent)
+    drop(shared)
     sets = texts.mapInArrow(_whole(words, _bitmap(cells.select("sig").distinct(), "sig")), "sig long, s binary")
     sets = cut(sets.groupBy("sig").agg(F.first("s").alias("s")))
-    labels = components(_links(cells, sets, percent))
+    links = _links(cells, sets, percent)
+    drop(cells, sets)
+    labels = components(links)
+    drop(links)
     return rows.mapInArrow(_sets(words), "doc_id long, sig long, n long"), labels
 
 
