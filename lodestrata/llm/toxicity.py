@@ -3,15 +3,13 @@
 Two bigram models, of toxic and of ordinary text, share one backoff: the word counts of all documents. Below its pairs a
 class counts a word by the distinct words before it, and both have discounts from their counts of counts. A text's
 score is a logistic function of the difference of its log-likelihoods under both models, divided by its number of
-words. Every word and pair of the counted texts has counts of its own in the classes, however rare. They weigh
+words. Every word and pair of these texts has counts of its own in the classes, however rare. They weigh
 L^2 / (L^2 + ``SOFT``^2), L being the log-likelihood ratio of the numbers of documents that hold it in the classes, and
 the shared backoff has the rest, so that rare expressions are smoothed and none is left out; a word that no counted
 text holds has the shared share in both classes, which cancels.
 
 Labels come only from rows whose crc32(doc_id as text) modulo ``FOLDS`` is not 0; of these, the last remainder sets
-the two numbers of the logistic function, on a sample (at most ``SAMPLE`` rows, chosen by a hash of doc_id), and the
-rest are counted: of each class whole texts of about ``COUNTED`` bytes, chosen by a hash of doc_id, so that the class counts are
-bounded by a parameter. The shared backoff counts the words of all documents. A model of up to ``BROADCAST`` words and pairs is
+the two numbers of the logistic function, and the rest are counted: all rows of either, none sampled. The shared backoff counts the words of all documents. A model of up to ``BROADCAST`` words and pairs is
 broadcast and texts are scored where they lie; a larger one stays in tables that texts meet: texts are dealt into
 groups of about ``GROUP`` bytes, each group asks for its distinct words and pairs once, in parts by hash, each part of the
 tables answers with what it holds, and the answers meet the group's texts. Words and pairs are named by 64-bit hashes.
@@ -37,11 +35,11 @@ from pyspark.sql import functions as F
 from lodestrata.llm.common import cut, python_ready, table
 from lodestrata.llm.shingles import mixed
 
-SAMPLE, FOLDS, SOFT = 40_000, 5, 30.0
-#: Bytes of text of each class that are counted, entries of a broadcast model, and the highest score without evidence.
-COUNTED, BROADCAST, PRIOR = 8 << 20, 6_000_000, 0.45
-#: What a text counts as at least, and characters that are scored at a time.
-FEWEST, PORTION = 64, 1 << 19
+FOLDS, SOFT = 5, 30.0
+#: Entries of a broadcast model, and the highest score without evidence.
+BROADCAST, PRIOR = 6_000_000, 0.45
+#: Characters that are scored at a time.
+PORTION = 1 << 19
 #: Bytes of text of a group, and entries of a part of the tables, about.
 GROUP, PART = 32 << 20, 1 << 19
 #: Differences a word below this are taken as they are by the logistic function, larger ones by their logarithm.
@@ -196,21 +194,23 @@ class Model:
         return out[0], out[1]
 
 
-def bent(difference):
-    return np.sign(difference) * np.log1p(np.abs(difference) / UNIT)
-
-
-def calibrated(differences: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Offset and slope of a logistic fit of the classes on the difference, by Newton steps with a small ridge."""
-    x = bent(differences)
-    scale = max(float(x.std()), 1e-9)
-    x = np.stack([np.ones(len(x)), x / scale], 1)
-    b = np.array([0.0, 1.0])
+def calibrated(rows: DataFrame) -> tuple[float, float] | None:
+    """Offset and slope of a logistic fit of the classes on the difference, by Newton steps with a small ridge, over all rows
+    (difference, toxic); none where a class is missing. Each step is one sum over the rows."""
+    bend, toxic = F.signum("difference") * F.log1p(F.abs("difference") / UNIT), F.col("toxic")
+    r = rows.agg(F.min("toxic"), F.max("toxic"), F.stddev_pop(bend)).first()
+    if (r[0], r[1]) != (0, 1):
+        return None
+    scale = max(float(r[2]), 1e-9)
+    x, b = bend / scale, np.array([0.0, 1.0])
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        grad = x.T @ (toxic - p) - 1e-2 * b
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        b = b + np.clip(np.linalg.solve(hess, grad), -3, 3)
+        p = 1 / (1 + F.exp(-F.greatest(F.least(float(b[0]) + float(b[1]) * x, F.lit(30.0)), F.lit(-30.0))))
+        w = p * (1 - p)
+        g0, g1, h0, h1, h2 = rows.agg(F.sum(toxic - p), F.sum(x * (toxic - p)), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
+        step = np.linalg.solve(np.array([[h0, h1], [h1, h2]]) + 1e-2 * np.eye(2), np.array([g0, g1]) - 1e-2 * b)
+        b = b + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-9:
+            break
     return float(b[0]), float(max(b[1], 0.0) / scale)
 
 
@@ -224,24 +224,12 @@ def marks(labels: DataFrame) -> DataFrame:
     return marked.withColumn("fold", _remainder(F.col("doc_id"))).where("fold <> 0")
 
 
-def _chosen(rows: DataFrame, marked: DataFrame) -> DataFrame:
-    """Text and class of whole texts of about ``COUNTED`` bytes of each class, by a hash of their ids. A text counts as ``FEWEST``
-    bytes at least, so that the ids are few enough to broadcast; texts are not moved to find them."""
-    sizes = rows.select("doc_id", F.greatest(F.octet_length("text"), F.lit(FEWEST)).alias("bytes")).join(marked, "doc_id")
-    sizes = cut(sizes.groupBy("doc_id", "toxic").agg(F.sum("bytes").alias("bytes")))
-    share = F.lit(1.0)
-    for r in sizes.groupBy("toxic").agg(F.sum("bytes").alias("bytes")).collect():
-        share = F.when(F.col("toxic") == r["toxic"], min(1.0, COUNTED / r["bytes"])).otherwise(share)
-    ids = sizes.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 20)) < share * (1 << 20)).select("doc_id", "toxic")
-    return rows.join(F.broadcast(ids), "doc_id").select("text", "toxic")
-
-
 def fit(docs: DataFrame, marked: DataFrame) -> Model | None:
     """The model from ``docs`` (doc_id, text) and ``marked``; none where a class is missing."""
     if marked.select("toxic").distinct().count() < 2:
         return None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    labelled = _chosen(rows, marked.where(F.col("fold") < FOLDS - 1))
+    labelled = rows.join(marked.where(F.col("fold") < FOLDS - 1), "doc_id").select("text", "toxic")
     counted = labelled.mapInArrow(_class_counts, CLASS_COUNTS).groupBy("kind", "key")
     counts = cut(counted.agg(F.first("first").alias("first"), F.first("second").alias("second"), *(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))))
     texts = counts.where((F.col("kind") == 1) & (F.col("key") == START)).first()
@@ -482,7 +470,7 @@ def differences(docs: DataFrame, model: Model, group: int = GROUP) -> DataFrame:
     return both.mapInArrow(_differences(model.by, columns, columns.index("text")), schema)
 
 
-def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sample: int = SAMPLE, name: str = "_score") -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, name: str = "_score") -> DataFrame:
     """The columns ``keep`` (or all) of ``docs`` (doc_id, text and others) with a score from 0 to 1 in column ``name``, which they
     must not have; learned from ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
@@ -502,12 +490,9 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, sa
     else:
         found = differences(own.select("was", "text"), model).select("was", F.col("_difference").alias("difference"))
     found = cut(found)
-    chosen = marked.where(F.col("fold") == FOLDS - 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    held = found.select(F.col("was.doc_id").cast("long").alias("doc_id"), "difference").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
-    held = held.orderBy(F.xxhash64("doc_id"), "doc_id", "difference").limit(sample).select("difference", "toxic").collect()
-    offset, slope = float(np.log(max(share, 1e-6) / (1 - share))), 1.0
-    if {r["toxic"] for r in held} == {0, 1}:
-        offset, slope = calibrated(np.array([r["difference"] for r in held]), np.array([r["toxic"] for r in held], np.float64))
+    held = marked.where(F.col("fold") == FOLDS - 1).select(F.col("doc_id").alias("_of"), "toxic")
+    held = cut(found.join(held, F.col("was.doc_id").cast("long") == F.col("_of")).select("difference", "toxic"))
+    offset, slope = calibrated(held) or (float(np.log(max(share, 1e-6) / (1 - share))), 1.0)
     x = F.col("difference")
     z = offset + slope * F.signum(x) * F.log1p(F.abs(x) / UNIT)
     z = F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))

@@ -170,6 +170,30 @@ def test_toxicity_counts_words_by_what_stands_before_them(spark):
     assert found[hashes["zig"]] > 1.01 * found[hashes["zag"]]  # equal numbers of words and texts
 
 
+def test_toxicity_counts_all_labelled_texts(spark):
+    # 11 MB of either class, each text with a word of its own
+    texts = [f"own{chr(97 + i % 26)}{chr(97 + i // 26)} " + "common words " * 28_000 for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    marked = spark.createDataFrame([(i, i % 2, 1 + i % 3) for i in range(60)], "doc_id long, toxic int, fold int")
+    keys = {r["key"] % (1 << 64): (r["n1"], r["n0"]) for r in toxicity.fit(docs, marked).pairs.collect()}
+    hashes = toxicity.Hashes()
+    for i, text in enumerate(texts):
+        pair = [np.array([h], np.uint64) for h in (toxicity.START, hashes[text.split()[0]])]
+        assert keys[int(toxicity.pair_keys(*pair)[0])] == (i % 2, 1 - i % 2)
+
+
+def test_toxicity_is_calibrated_on_all_rows(spark):
+    rng = np.random.default_rng(5)
+    difference, toxic = rng.normal(size=45_000) * 0.01, rng.integers(0, 2, 45_000)
+    difference[44_000:] += 0.05 * toxic[44_000:]  # where a part of the rows would not look
+    rows = spark.createDataFrame([(float(d), int(t)) for d, t in zip(difference, toxic, strict=True)], "difference double, toxic int")
+    offset, slope = toxicity.calibrated(rows)
+    x = np.sign(difference) * np.log1p(np.abs(difference) / toxicity.UNIT)
+    off = toxic - 1 / (1 + np.exp(-(offset + slope * x)))
+    assert slope > 0 and abs(off.sum()) < 0.1 and abs((off * x).sum()) < 0.1  # the gradient over all of them, but for the ridge
+    assert toxicity.calibrated(rows.where("toxic = 0")) is None
+
+
 def test_toxicity_on_hard_rows(spark, documents):
     folder = documents([(*r, *CLASHES) for r in HARD], CLASHING)
     spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
