@@ -32,12 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import cut, python_ready, table
+from lodestrata.llm.common import bitmap, bits_for, cut, drop, holds, python_ready, table
 from lodestrata.llm.shingles import mixed
 
 FOLDS, SOFT = 5, 30.0
-#: Entries of a broadcast model, and the highest score without evidence.
-BROADCAST, PRIOR = 6_000_000, 0.45
+#: Entries of a broadcast model, ids of labels that are broadcast, and the highest score without evidence.
+BROADCAST, MARKED, PRIOR = 1_000_000, 1_000_000, 0.45
+#: Labelled bytes of a part of the pairs, about, and words of the texts that meet the tables at once.
+COUNTED, AT_ONCE = 16 << 20, 5_000_000
 #: Characters that are scored at a time.
 PORTION = 1 << 19
 #: Bytes of text of a group, and entries of a part of the tables, about.
@@ -45,7 +47,7 @@ GROUP, PART = 32 << 20, 1 << 19
 #: Differences a word below this are taken as they are by the logistic function, larger ones by their logarithm.
 UNIT = 1e-3
 #: Words that a task holds before it passes their counts on, distinct ones whose hashes it knows, and the longest of these.
-HELD, KNOWN, LONGEST = 500_000, 200_000, 40
+HELD, KNOWN, LONGEST = 1_500_000, 200_000, 40
 #: Stands before the first word of a text.
 START = 0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -105,41 +107,138 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield flush()
 
 
-CLASS_COUNTS = "kind int, key long, first long, second long, n1 long, n0 long, d1 long, d0 long"
+#: Columns of packed pairs: both words, and numbers (n) and texts (d) that hold them among toxic (1) and other (0) texts. Where ``second``
+#: is ALONE they are those of the word ``first``.
+PAIRS = np.dtype([("first", "<u8"), ("second", "<u8"), ("n1", "<u4"), ("n0", "<u4"), ("d1", "<u4"), ("d0", "<u4")])
+ALONE = (1 << 64) - 1
+_codec = pa.Codec("zstd", compression_level=1)
 
 
-def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts (n) and texts (d) of pairs (kind 0) and words (1, with START) among toxic (1) and other (0) texts, passed on
-    whenever many are held."""
-    hashes, held, n = Hashes(), ([], []), 0
+def packed_pairs(rows: np.ndarray) -> bytes:
+    """A column after the other, compressed; sorted by the first word, which makes that column small."""
+    rows = rows[np.argsort(rows["first"], kind="stable")]
+    raw = b"".join(np.ascontiguousarray(rows[n]).tobytes() for n in PAIRS.names)
+    return len(rows).to_bytes(8, "little") + (_codec.compress(raw, asbytes=True) if raw else b"")
 
-    def flush(kind: int) -> pa.RecordBatch:
-        empty = (*(np.zeros(0, np.uint64) for _ in range(3)), np.zeros(0, bool), np.zeros(0, bool))
-        key, first, second, toxic, fresh = (np.concatenate(x) for x in zip(empty, *held[kind], strict=True))
-        held[kind].clear()
-        keys, at, of = np.unique(key, return_index=True, return_inverse=True)
-        of = of.reshape(-1)
-        counts = [np.bincount(of[use], minlength=len(keys)) for use in (toxic, ~toxic, toxic & fresh, ~toxic & fresh)]
-        columns = [pa.array(np.full(len(keys), kind), pa.int32()), *(_signed(x) for x in (keys, first[at], second[at])), *(pa.array(c, pa.int64()) for c in counts)]
-        return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "first", "second", "n1", "n0", "d1", "d0"])
 
-    def hold(kind: int, of: np.ndarray, toxic: np.ndarray, key: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
-        order = np.lexsort((key, of))
-        key, of = key[order], of[order]
-        fresh = np.ones(len(key), bool)  # once a text
-        fresh[1:] = (key[1:] != key[:-1]) | (of[1:] != of[:-1])
-        held[kind].append((key, first[order], second[order], toxic[of], fresh))
+def opened_pairs(packed: bytes) -> np.ndarray:
+    out = np.zeros(int.from_bytes(packed[:8], "little"), PAIRS)
+    if len(out):
+        raw, at = _codec.decompress(packed[8:], PAIRS.itemsize * len(out), asbytes=True), 0
+        for n in PAIRS.names:
+            out[n] = np.frombuffer(raw, PAIRS[n], len(out), at)
+            at += PAIRS[n].itemsize * len(out)
+    return out
+
+
+def summed_pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in ascending order, and the rows of equal keys as one."""
+    key = pair_keys(rows["first"], rows["second"])
+    order = np.argsort(key, kind="stable")
+    key, rows = key[order], rows[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    out = rows[at]
+    for n in PAIRS.names[2:]:
+        out[n] = np.add.reduceat(rows[n], at) if len(at) else 0
+    return key[at], out
+
+
+def _part_edges(bits: int) -> np.ndarray:
+    return np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else np.zeros(0, np.uint64)
+
+
+def _class_counts(bits: int):
+    """Packed pairs of labelled texts, words alone among them, by part of their keys; passed on whenever many are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, n = Hashes(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            key, rows = summed_pairs(np.concatenate([np.zeros(0, PAIRS), *held]))
+            held.clear()
+            parts = [packed_pairs(x) if len(x) else None for x in np.split(rows, np.searchsorted(key, _part_edges(bits)))]
+            own = [i for i, x in enumerate(parts) if x]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[i] for i in own], pa.binary())], names=["part", "packed"])
+
+        def hold(of: np.ndarray, toxic: np.ndarray, first: np.ndarray, second: np.ndarray) -> None:
+            key = pair_keys(first, second)
+            order = np.lexsort((key, of))
+            key, of = key[order], of[order]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])])) if len(key) else np.zeros(0, np.int64)
+            rows, times, toxic = np.zeros(len(at), PAIRS), np.diff(np.append(at, len(key))), toxic[of[at]]
+            rows["first"], rows["second"] = first[order[at]], second[order[at]]
+            for c, use in (("1", toxic), ("0", ~toxic)):
+                rows[f"n{c}"], rows[f"d{c}"] = np.where(use, times, 0), use
+            held.append(rows)
+
+        for batch in batches:
+            flat, lengths = hashes.of(batch.column(0).to_pylist())
+            toxic, of, at = np.array(batch.column(1).to_pylist(), bool), np.repeat(np.arange(len(lengths)), lengths + 1), np.flatnonzero(flat != START)
+            hold(of[at], toxic, flat[at - 1], flat[at])
+            hold(of, toxic, flat, np.full(len(flat), ALONE, np.uint64))
+            n += len(flat)
+            if n > HELD:
+                yield flush()
+                n = 0
+        yield flush()
+
+    return run
+
+
+TIMES = [f"e{c}{i}" for c in (1, 0) for i in (1, 2, 3, 4)]
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of packed pairs a part, with its number of pairs and how many of them stand there once to four times. Rows come sorted by part."""
+    last, held = None, []
+
+    def emit() -> pa.RecordBatch:
+        _, rows = summed_pairs(np.concatenate(held))
+        own = rows[rows["second"] != ALONE]
+        numbers = [len(own), *(int((own[f"n{e[1]}"] == int(e[2])).sum()) for e in TIMES)]
+        return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), *(pa.array([x], pa.int64()) for x in numbers), pa.array([packed_pairs(rows)], pa.binary())], names=["part", "rows", *TIMES, "packed"])
+
+    for batch in batches:
+        for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if last is not None and part != last:
+                yield emit()
+                held = []
+            last = part
+            held.append(opened_pairs(packed))
+    if held:
+        yield emit()
 
-    for rows in batches:
-        flat, lengths = hashes.of(rows.column(0).to_pylist())
-        toxic, of, at = np.array(rows.column(1).to_pylist(), bool), np.repeat(np.arange(len(lengths)), lengths + 1), np.flatnonzero(flat != START)
-        hold(0, of[at], toxic, pair_keys(flat[at - 1], flat[at]), flat[at - 1], flat[at])
-        hold(1, of, toxic, flat, flat, flat)
-        n += len(flat)
-        if n > HELD:
-            yield from (flush(0), flush(1))
-            n = 0
-    yield from (flush(0), flush(1))
+
+#: Of a word: texts that hold it (d), distinct words before it (n), and, as a context, its count (t) and pairs counted once, twice and more often.
+STATS = ["d1", "d0", "n1", "n0", "t1", "t0", *(f"c{c}{i}" for c in (1, 0) for i in (1, 2, 3))]
+
+
+def _word_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """STATS of the words of each row of packed pairs."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            rows = opened_pairs(packed)
+            alone, own = rows[rows["second"] == ALONE], rows[rows["second"] != ALONE]
+            words = np.unique(np.concatenate([rows["first"], own["second"]]))
+            at = {n: np.searchsorted(words, x) for n, x in (("alone", alone["first"]), ("first", own["first"]), ("second", own["second"]))}
+            total = lambda n, weights: np.bincount(at[n], weights, len(words)).astype(np.int64)  # noqa: B023, E731
+            out = {}
+            for c in "10":
+                n = own[f"n{c}"]
+                out[f"d{c}"], out[f"n{c}"], out[f"t{c}"] = total("alone", alone[f"d{c}"]), total("second", n > 0), total("first", n)
+                for i in (1, 2, 3):
+                    out[f"c{c}{i}"] = total("first", n >= 3 if i == 3 else n == i)
+            yield pa.RecordBatch.from_arrays([_signed(words), *(pa.array(out[n], pa.int64()) for n in STATS)], names=["word", *STATS])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of packed rows with their keys."""
+    for batch in batches:
+        for packed in batch.column(0).to_pylist():
+            rows = opened_pairs(packed)
+            rows = rows[rows["second"] != ALONE]
+            columns = [_signed(pair_keys(rows["first"], rows["second"])), *(pa.array(rows[n].astype(np.int64), pa.int64()) for n in PAIRS.names[2:])]
+            yield from pa.Table.from_arrays(columns, names=["key", *PAIRS.names[2:]]).to_batches(1 << 16)
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
@@ -163,6 +262,16 @@ def _spread(counts: DataFrame) -> tuple[dict, list[list[float]]]:
     return r, by
 
 
+def weights(rows: np.ndarray, all1: float, all0: float) -> np.ndarray:
+    """``_weight`` of packed pairs."""
+    d1, d0 = rows["d1"].astype(np.float64), rows["d0"].astype(np.float64)
+    share, n = all1 / (all1 + all0), d1 + d0
+    term = lambda k, expected: np.where(k > 0, k * np.log(np.where(k > 0, k, 1) / np.where(expected > 0, expected, 1)), 0.0)
+    evidence = 2 * (term(d1, n * share) + term(d0, n * (1 - share)) + term(all1 - d1, (all1 + all0 - n) * share) + term(all0 - d0, (all1 + all0 - n) * (1 - share)))
+    square = np.maximum(evidence, 0.0) ** 2
+    return square / (square + SOFT**2)
+
+
 def _weight(all1: float, all0: float):
     """What the counts of an expression weigh against the backoff, by the numbers of texts that hold it (d1, d0)."""
     share, n, d1, d0 = all1 / (all1 + all0), F.col("d1") + F.col("d0"), F.col("d1"), F.col("d0")
@@ -175,10 +284,10 @@ def _weight(all1: float, all0: float):
 class Model:
     """``pairs``: key, counts in toxic and ordinary texts, and their weight (g). ``words``: of each word its probability
     in both classes (p1, p0) and, as a context, its count (t1, t0) and what is left for the backoff (b1, b0). ``by``:
-    discounts of pairs."""
+    discounts of pairs. ``packed``: the pairs, a row for each of 2^``parted`` parts; ``texts``: numbers of texts of both classes."""
 
-    def __init__(self, pairs: DataFrame, words: DataFrame, by: list[list[float]], entries: int):
-        self.pairs, self.words, self.by, self.entries = pairs, words, by, entries
+    def __init__(self, pairs: DataFrame, words: DataFrame, by: list[list[float]], entries: int, packed: DataFrame, texts: tuple[float, float], parted: int):
+        self.pairs, self.words, self.by, self.entries, self.packed, self.texts, self.parted = pairs, words, by, entries, packed, texts, parted
         self.bits = max(1, (entries // PART).bit_length())
 
     def arrays(self) -> tuple[np.ndarray, np.ndarray]:
@@ -224,38 +333,59 @@ def marks(labels: DataFrame) -> DataFrame:
     return marked.withColumn("fold", _remainder(F.col("doc_id"))).where("fold <> 0")
 
 
+def _marked(wanted):
+    """The rows (doc_id, text) whose id the bitmap holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(wanted.value, np.uint8)
+        for rows in batches:
+            yield rows.filter(pa.array(holds(packed, rows.column(0).to_numpy(zero_copy_only=False)).tolist(), pa.bool_()))
+
+    return run
+
+
 def fit(docs: DataFrame, marked: DataFrame) -> Model | None:
     """The model from ``docs`` (doc_id, text) and ``marked``; none where a class is missing."""
     if marked.select("toxic").distinct().count() < 2:
         return None
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    labelled = rows.join(marked.where(F.col("fold") < FOLDS - 1), "doc_id").select("text", "toxic")
-    counted = labelled.mapInArrow(_class_counts, CLASS_COUNTS).groupBy("kind", "key")
-    counts = cut(counted.agg(F.first("first").alias("first"), F.first("second").alias("second"), *(F.sum(c).alias(c) for c in ("n1", "n0", "d1", "d0"))))
-    texts = counts.where((F.col("kind") == 1) & (F.col("key") == START)).first()
+    learned = marked.where(F.col("fold") < FOLDS - 1).select("doc_id", "toxic")
+    if (many := learned.count()) <= MARKED:
+        labelled = rows.join(F.broadcast(learned), "doc_id")
+    else:  # only texts that may have a label are moved
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(learned, F.col("doc_id"), bits_for(many)))
+        labelled = rows.where("doc_id is not null").mapInArrow(_marked(bits), rows.schema).join(learned, "doc_id")
+    size = rows.select("doc_id", F.octet_length("text").alias("n")).join(F.broadcast(learned) if many <= MARKED else learned, "doc_id").agg(F.sum("n")).first()[0] or 0
+    bits = (size // COUNTED).bit_length()
+    counted = labelled.select("text", "toxic").mapInArrow(_class_counts(bits), "part int, packed binary")
+    merged = counted.repartition(1 << bits, "part").sortWithinPartitions("part").mapInArrow(_merged, "part int, rows long, " + ", ".join(f"{n} long" for n in TIMES) + ", packed binary")
+    packed = cut(merged)
+    stats = cut(packed.select("packed").mapInArrow(_word_stats, "word long, " + ", ".join(f"{n} long" for n in STATS)).groupBy("word").agg(*(F.sum(n).alias(n) for n in STATS)))
+    texts = stats.where(F.col("word") == START).first()
     if texts is None or not texts["d1"] or not texts["d0"]:
         return None
-    pairs = counts.where("kind = 0")
-    before = pairs.groupBy(F.col("second").alias("word")).agg(*(F.count_if(F.col(c) > 0).alias(c) for c in ("n1", "n0")))  # distinct words before it
-    own = cut(counts.where((F.col("kind") == 1) & (F.col("key") != START)).select(F.col("key").alias("word"), "d1", "d0").join(before, "word"))
-    (_, by), (whole, word_by) = _spread(pairs), _spread(own)
+    own = stats.where(F.col("word") != START)
+    times = packed.agg(F.sum("rows").alias("rows"), *(F.sum(n).alias(n) for n in TIMES)).first()
+    by = [_discounts(*(times[f"e{c}{i}"] or 0 for i in (1, 2, 3, 4))) for c in (1, 0)]
+    whole, word_by = _spread(own)
     weight = _weight(float(texts["d1"]), float(texts["d0"]))
     everywhere = cut(rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = float(everywhere.agg(F.sum("n")).first()[0] or 1)
     shared = everywhere.select("word", (F.col("n") / total).alias("base"))
-    contexts = pairs.groupBy(F.col("first").alias("word")).agg(*(F.sum(f"n{c}").alias(f"t{c}") for c in (1, 0)), *(F.sum(_discount(F.col(f"n{c}"), by[1 - c])).alias(f"g{c}") for c in (1, 0)))
-    words = own.withColumn("g", weight).join(shared, "word").join(contexts, "word", "full_outer")
+    left = {f"g{c}": sum(by[1 - c][i] * F.col(f"c{c}{i}") for i in (1, 2, 3)) for c in (1, 0)}
+    words = stats.withColumns(left).withColumn("w", weight).join(shared, "word", "left")
 
     def probability(c: int):
         of_class, n = float(whole[f"n{c}"] or 1), F.col(f"n{c}")
         rest = min(1.0, whole[f"rest{c}"] / of_class) if whole[f"rest{c}"] else 1.0
         smooth = (n - _discount(n, word_by[1 - c])) / of_class + rest * F.col("base")
-        return F.coalesce(F.col("g") * smooth + (1 - F.col("g")) * F.col("base"), F.lit(1.0)).cast("float").alias(f"p{c}")
+        return F.coalesce(F.when(F.col("word") != START, F.col("w") * smooth + (1 - F.col("w")) * F.col("base")), F.lit(1.0)).cast("float").alias(f"p{c}")
 
     t = lambda c: F.greatest(F.coalesce(f"t{c}", F.lit(0)), F.lit(1)).cast("float").alias(f"t{c}")
     b = lambda c: F.when(F.col(f"t{c}") > 0, F.col(f"g{c}") / F.col(f"t{c}")).otherwise(1.0).cast("float").alias(f"b{c}")
     words = cut(words.select("word", *(f(c) for f in (probability, t, b) for c in (1, 0))))
-    return Model(pairs.select("key", "n1", "n0", weight.alias("g")), words, by, pairs.count() + words.count())
+    pairs = packed.select("packed").mapInArrow(_opened, "key long, n1 long, n0 long, d1 long, d0 long").select("key", "n1", "n0", weight.alias("g"))
+    return Model(pairs, words, by, int(times["rows"] or 0) + words.count(), packed, (float(texts["d1"]), float(texts["d0"])), bits)
 
 
 # ---------------------------------------------------------------- texts meet the tables
@@ -376,9 +506,9 @@ def _portions(texts: list[str]) -> Iterator[tuple[list[int], list[str], bool]]:
         yield some, [texts[j] for j in some], False
 
 
-def differences_of(texts: list[str], hashes: Hashes, words: np.ndarray, pairs: np.ndarray, by: list[list[float]]) -> np.ndarray:
-    """Toxic less ordinary log-likelihood of each text, a word."""
-    sums, counts, before = np.zeros(len(texts)), np.zeros(len(texts), np.int64), START
+def _read(texts: list[str], hashes: Hashes) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """By portions: which texts, their numbers of words, the hashes of all words with what stands before each text, and the words' places."""
+    before = START
     for which, some, goes_on in _portions(texts):
         flat, lengths = hashes.of(some)
         first = np.cumsum(lengths + 1) - lengths - 1
@@ -386,23 +516,190 @@ def differences_of(texts: list[str], hashes: Hashes, words: np.ndarray, pairs: n
         if goes_on:
             flat[0] = before
         before = int(flat[-1]) if len(flat) else START
+        yield which, lengths, flat, at
+
+
+def differences_of(texts: list[str], hashes: Hashes, words: np.ndarray, pairs: np.ndarray, by: list[list[float]]) -> np.ndarray:
+    """Toxic less ordinary log-likelihood of each text, a word."""
+    sums, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    for which, lengths, flat, at in _read(texts, hashes):
         distinct, of = np.unique(flat, return_inverse=True)
         word = _lookup(words, distinct, _UNKNOWN)[of.reshape(-1)]
         distinct, of = np.unique(pair_keys(flat[at - 1], flat[at]), return_inverse=True)
         pair = _lookup(pairs, distinct, _UNPAIRED)[of.reshape(-1)]
-        own, log = [], []
-        for c in (1, 0):
-            n = pair[f"n{c}"].astype(np.float64)
-            part = np.maximum(n - np.array(by[1 - c])[np.minimum(n, 3).astype(int)], 0) / word[f"t{c}"][at - 1]
-            own.append(word[f"p{c}"][at].astype(np.float64))
-            log.append(np.log(part + word[f"b{c}"][at - 1] * own[-1]))
-        alone = np.log(own[0]) - np.log(own[1])
-        out = alone + pair["g"] * (log[0] - log[1] - alone)
-        sums[which] += np.bincount(np.repeat(np.arange(len(some)), lengths), out, len(some))
+        alone, more = _summands(word[at - 1], word[at], pair, by)
+        sums[which] += np.bincount(np.repeat(np.arange(len(which)), lengths), alone + more, len(which))
         counts[which] += lengths
     return sums / np.maximum(counts, 1)
 
 
+def _summands(context: np.ndarray, word: np.ndarray, pair: np.ndarray, by: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    """What words add to the difference by themselves (rows WORD), and what their pairs with the words before (PAIR) add to that."""
+    own, log = [], []
+    for c in (1, 0):
+        n = pair[f"n{c}"].astype(np.float64)
+        part = np.maximum(n - np.array(by[1 - c])[np.minimum(n, 3).astype(int)], 0) / context[f"t{c}"]
+        own.append(word[f"p{c}"].astype(np.float64))
+        log.append(np.log(part + context[f"b{c}"] * own[-1]))
+    alone = np.log(own[0]) - np.log(own[1])
+    return alone, pair["g"] * (log[0] - log[1] - alone)
+
+
+# ---------------------------------------------------------------- texts read the tables in the shared folder
+#
+# A table is one row (part, keys, entries) for each part of the keys. Tasks that have their distinct keys read it row by row.
+
+
+def _files(df: DataFrame) -> list[str] | None:
+    """The files of a table, if they are in a store that Arrow opens as well as Spark."""
+    import pyarrow.fs
+
+    files = sorted(df.inputFiles())
+    try:
+        for f in files[:1]:
+            store, path = pyarrow.fs.FileSystem.from_uri(_uri(f))
+            if store.get_file_info(path).type != pyarrow.fs.FileType.File:
+                return None
+    except (pa.ArrowException, OSError):
+        return None
+    return files
+
+
+def _uri(file: str) -> str:
+    return re.sub("^file:/+", "file:///", file)
+
+
+def _fetched(files: list[str], bits: int, keys: np.ndarray, absent: np.ndarray) -> np.ndarray:
+    """The entries of ascending keys, or ``absent``."""
+    import pyarrow.fs
+    import pyarrow.parquet as pq
+
+    out = np.repeat(absent, len(keys))
+    edges = np.concatenate([[0], np.searchsorted(keys, _part_edges(bits)), [len(keys)]])
+    for f in files:
+        store, path = pyarrow.fs.FileSystem.from_uri(_uri(f))
+        with store.open_input_file(path) as source:
+            for rows in pq.ParquetFile(source).iter_batches(1, columns=["part", "keys", "entries"]):
+                part = rows.column(0)[0].as_py()
+                a, b = edges[part], edges[part + 1]
+                if a < b and len(table_keys := np.frombuffer(rows.column(1)[0].as_buffer(), np.uint64)):
+                    at = np.minimum(np.searchsorted(table_keys, keys[a:b]), len(table_keys) - 1)
+                    hit = np.flatnonzero(table_keys[at] == keys[a:b])
+                    out[a + hit] = np.frombuffer(rows.column(2)[0].as_buffer(), absent.dtype)[at[hit]]
+    return out
+
+
+TABLE = "part int, keys binary, entries binary"
+
+
+def _row(part: int, keys: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([entries.tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "keys", "entries"])
+
+
+def _word_table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, WORD) come sorted by part."""
+    last, held = None, []
+
+    def emit() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["key"])]
+        return _row(last, np.ascontiguousarray(rows["key"]), rows)
+
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        into = np.zeros(len(parts), WORD)
+        for i, name in enumerate(WORD.names, 1):
+            column = batch.column(i).to_numpy()
+            into[name] = column.view(np.uint64) if name == "key" else column
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                if last is not None and parts[a] != last:
+                    yield emit()
+                    held = []
+                last = int(parts[a])
+                held.append(into[a:b])
+    if held:
+        yield emit()
+
+
+def _pair_table(files: list[str], bits: int, by: list[list[float]], texts: tuple[float, float]):
+    """What each pair of the packed rows (part, packed) adds to a difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = opened_pairs(packed)
+                rows = rows[rows["second"] != ALONE]
+                names = np.unique(np.concatenate([rows["first"], rows["second"]]))
+                words = _fetched(files, bits, names, _UNKNOWN)
+                pair = np.zeros(len(rows), PAIR)
+                pair["key"], pair["n1"], pair["n0"], pair["g"] = pair_keys(rows["first"], rows["second"]), rows["n1"], rows["n0"], weights(rows, *texts)
+                _, more = _summands(words[np.searchsorted(names, rows["first"])], words[np.searchsorted(names, rows["second"])], pair, by)
+                order = np.argsort(pair["key"])
+                yield _row(part, pair["key"][order], more[order].astype(np.float32))
+
+    return run
+
+
+def _by_reading(words: list[str], word_bits: int, pairs: list[str], pair_bits: int):
+    """Rows (was, text) with their difference; the tables are read once for about ``AT_ONCE`` words of text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        held: list[tuple] = []
+
+        def known(i: int, files: list[str], bits: int, absent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x[i][0] for _, some in held for _, _, *x in some)]))
+            return keys, _fetched(files, bits, keys, absent)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            names, entries = known(0, words, word_bits, _UNKNOWN)
+            alone = np.log(entries["p1"].astype(np.float64)) - np.log(entries["p0"].astype(np.float64))
+            keys, more = known(1, pairs, pair_bits, np.zeros(1, np.float32))
+            for was, some in held:
+                sums, counts = np.zeros(len(was)), np.zeros(len(was), np.int64)
+                for which, lengths, (w, of_w), (k, of_k) in some:
+                    out = alone[np.searchsorted(names, w)][of_w] + more[np.searchsorted(keys, k)][of_k]
+                    sums[which] += np.bincount(np.repeat(np.arange(len(which)), lengths), out, len(which))
+                    counts[which] += lengths
+                yield pa.RecordBatch.from_arrays([was, pa.array(sums / np.maximum(counts, 1), pa.float64())], names=["was", "difference"])
+            held.clear()
+
+        n = 0
+        for rows in batches:
+            some = []
+            for which, lengths, flat, at in _read(rows.column(1).to_pylist(), hashes):
+                found = [np.unique(x, return_inverse=True) for x in (flat[at], pair_keys(flat[at - 1], flat[at]))]
+                some.append((which, lengths, *((x, of.reshape(-1).astype(np.int32)) for x, of in found)))
+                n += len(at)
+            held.append((rows.column(0), some))
+            if n > AT_ONCE:
+                yield from flush()
+                n = 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def by_reading(own: DataFrame, model: Model) -> DataFrame | None:
+    """Rows (was, text) of ``own`` with their difference, without moving a text; none if the shared folder is in a store that Arrow does not open."""
+    bits = max(0, model.words.count() // PART).bit_length()
+    part = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
+    by_part = model.words.select(part.alias("part"), F.col("word").alias("key"), *WORD.names[1:]).repartition(1 << bits, "part").sortWithinPartitions("part")
+    words = cut(by_part.mapInArrow(_word_table, TABLE))
+    word_files = _files(words)
+    if word_files is None:
+        return None
+    pairs = cut(model.packed.select("part", "packed").repartition(1 << model.parted, "part").mapInArrow(_pair_table(word_files, bits, model.by, model.texts), TABLE))
+    schema = own.select("was", F.lit(0.0).alias("difference")).schema
+    found = cut(own.mapInArrow(_by_reading(word_files, bits, _files(pairs), model.parted), schema))
+    drop(pairs, words, model.packed)
+    return found
+
+
 def _where_they_lie(by: list[list[float]], model):
     """Rows (was, text) with their difference, by a broadcast model."""
 
@@ -487,11 +784,11 @@ def scored(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, na
     if model.entries <= BROADCAST:
         schema = own.select("was", F.lit(0.0).alias("difference")).schema
         found = own.select("was", "text").mapInArrow(_where_they_lie(model.by, spark.sparkContext.broadcast(model.arrays())), schema)
-    else:
-        found = differences(own.select("was", "text"), model).select("was", F.col("_difference").alias("difference"))
-    found = cut(found)
+        found = cut(found)
+    elif (found := by_reading(own.select("was", "text"), model)) is None:
+        found = cut(differences(own.select("was", "text"), model).select("was", F.col("_difference").alias("difference")))
     held = marked.where(F.col("fold") == FOLDS - 1).select(F.col("doc_id").alias("_of"), "toxic")
-    held = cut(found.join(held, F.col("was.doc_id").cast("long") == F.col("_of")).select("difference", "toxic"))
+    held = cut(found.select(F.col("was.doc_id").cast("long").alias("_of"), "difference").join(held, "_of").select("difference", "toxic"))
     offset, slope = calibrated(held) or (float(np.log(max(share, 1e-6) / (1 - share))), 1.0)
     x = F.col("difference")
     z = offset + slope * F.signum(x) * F.log1p(F.abs(x) / UNIT)

@@ -606,6 +606,22 @@ def test_broadcast_and_table_models_agree(spark, monkeypatch):
     assert one.keys() == two.keys() and all(abs(one[i] - two[i]) < 1e-6 for i in one)
 
 
+def test_tables_in_many_parts_agree(spark, monkeypatch):
+    """Packed parts that texts read, parts that texts are moved to, and a broadcast model give the same scores."""
+    random.seed(14)
+    rows = [(i, " ".join(random.choices([*"abcdefgh", "zounds" if i % 3 == 0 else "i", "é"], k=random.randint(0, 30)))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int")
+    scores = lambda: {r["doc_id"]: r["_score"] for r in toxicity.scored(docs, labels).collect()}
+    found = [scores()]
+    for name, value in (("BROADCAST", 0), ("MARKED", 0), ("COUNTED", 500), ("PART", 4), ("AT_ONCE", 200), ("HELD", 300), ("PORTION", 50)):
+        monkeypatch.setattr(toxicity, name, value)
+    found.append(scores())
+    monkeypatch.setattr(toxicity, "_files", lambda df: None)
+    found.append(scores())
+    assert all(found[0].keys() == x.keys() and all(abs(found[0][i] - x[i]) < 1e-6 for i in x) for x in found[1:])
+
+
 @pytest.mark.parametrize("portion", [1 << 19, 5])
 def test_toxicity_equals_a_plain_model(spark, monkeypatch, portion):
     """The counts, discounts, continuation counts, backoff and weights of the module, in plain Python."""
