@@ -10,8 +10,9 @@ text holds has the shared share in both classes, which cancels.
 
 Labels come only from rows whose crc32(doc_id as text) modulo ``FOLDS`` is not 0; of these, the last remainder sets
 the two numbers of the logistic function, and the rest are counted: all rows of either, none sampled. The shared backoff counts the words of all documents. A model of up to ``BROADCAST`` words and pairs is
-broadcast and texts are scored where they lie; a larger one stays in tables that texts meet: texts are dealt into
-groups of about ``GROUP`` bytes, each group asks for its distinct words and pairs once, in parts by hash, each part of the
+broadcast. Of a larger one what each pair adds to a difference is written to the shared folder, in parts by hash, and tasks read the
+parts once for about ``AT_ONCE`` words of the texts that they hold; no text is moved. Where Arrow can't open that folder's store,
+texts are dealt into groups of about ``GROUP`` bytes, each group asks for its distinct words and pairs once, each part of the
 tables answers with what it holds, and the answers meet the group's texts. Words and pairs are named by 64-bit hashes.
 
 Defined results: a null text counts as empty, and an empty text gets the score of difference 0; a null doc_id counts
@@ -38,8 +39,8 @@ from lodestrata.llm.shingles import mixed
 FOLDS, SOFT = 5, 30.0
 #: Entries of a broadcast model, ids of labels that are broadcast, and the highest score without evidence.
 BROADCAST, MARKED, PRIOR = 1_000_000, 1_000_000, 0.45
-#: Labelled bytes of a part of the pairs, about, and words of the texts that meet the tables at once.
-COUNTED, AT_ONCE = 16 << 20, 5_000_000
+#: Labelled bytes of a part of the pairs, about, words of the texts that meet the tables at once, and pairs that are worked out at once.
+COUNTED, AT_ONCE, SOME = 4 << 20, 1_200_000, 1 << 17
 #: Characters that are scored at a time.
 PORTION = 1 << 19
 #: Bytes of text of a group, and entries of a part of the tables, about.
@@ -47,7 +48,7 @@ GROUP, PART = 32 << 20, 1 << 19
 #: Differences a word below this are taken as they are by the logistic function, larger ones by their logarithm.
 UNIT = 1e-3
 #: Words that a task holds before it passes their counts on, distinct ones whose hashes it knows, and the longest of these.
-HELD, KNOWN, LONGEST = 1_500_000, 200_000, 40
+HELD, KNOWN, LONGEST = 400_000, 200_000, 40
 #: Stands before the first word of a text.
 START = 0
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -634,11 +635,14 @@ def _pair_table(files: list[str], bits: int, by: list[list[float]], texts: tuple
                 rows = rows[rows["second"] != ALONE]
                 names = np.unique(np.concatenate([rows["first"], rows["second"]]))
                 words = _fetched(files, bits, names, _UNKNOWN)
-                pair = np.zeros(len(rows), PAIR)
-                pair["key"], pair["n1"], pair["n0"], pair["g"] = pair_keys(rows["first"], rows["second"]), rows["n1"], rows["n0"], weights(rows, *texts)
-                _, more = _summands(words[np.searchsorted(names, rows["first"])], words[np.searchsorted(names, rows["second"])], pair, by)
-                order = np.argsort(pair["key"])
-                yield _row(part, pair["key"][order], more[order].astype(np.float32))
+                key, more = pair_keys(rows["first"], rows["second"]), np.zeros(len(rows), np.float32)
+                for a in range(0, len(rows), SOME):
+                    own = rows[a : a + SOME]
+                    pair = np.zeros(len(own), PAIR)
+                    pair["n1"], pair["n0"], pair["g"] = own["n1"], own["n0"], weights(own, *texts)
+                    more[a : a + SOME] = _summands(words[np.searchsorted(names, own["first"])], words[np.searchsorted(names, own["second"])], pair, by)[1]
+                order = np.argsort(key)
+                yield _row(part, key[order], more[order])
 
     return run
 
