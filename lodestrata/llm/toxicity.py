@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import bitmap, bits_for, cut, drop, holds, python_ready, table
+from lodestrata.llm.common import bitmap, bits_for, cut, drop, given_back, holds, python_ready, table
 from lodestrata.llm.shingles import mixed
 
 FOLDS, SOFT = 5, 30.0
@@ -43,8 +43,8 @@ BROADCAST, MARKED, PRIOR = 1_000_000, 1_000_000, 0.45
 COUNTED, AT_ONCE, SOME = 4 << 20, 1_200_000, 1 << 17
 #: Characters that are scored at a time.
 PORTION = 1 << 19
-#: Bytes of text of a group, and entries of a part of the tables, about.
-GROUP, PART = 32 << 20, 1 << 19
+#: Bytes of text of a group, entries of a part of the tables, about, and words of a batch of their statistics.
+GROUP, PART, STATED = 32 << 20, 1 << 17, 1 << 14
 #: Differences a word below this are taken as they are by the logistic function, larger ones by their logarithm.
 UNIT = 1e-3
 #: Words that a task holds before it passes their counts on, distinct ones whose hashes it knows, and the longest of these.
@@ -158,6 +158,8 @@ def _class_counts(bits: int):
             key, rows = summed_pairs(np.concatenate([np.zeros(0, PAIRS), *held]))
             held.clear()
             parts = [packed_pairs(x) if len(x) else None for x in np.split(rows, np.searchsorted(key, _part_edges(bits)))]
+            del key, rows
+            given_back()
             own = [i for i, x in enumerate(parts) if x]
             return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([parts[i] for i in own], pa.binary())], names=["part", "packed"])
 
@@ -208,6 +210,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(opened_pairs(packed))
     if held:
         yield emit()
+    held = []
+    given_back()
 
 
 #: Of a word: texts that hold it (d), distinct words before it (n), and, as a context, its count (t) and pairs counted once, twice and more often.
@@ -229,7 +233,10 @@ def _word_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[f"d{c}"], out[f"n{c}"], out[f"t{c}"] = total("alone", alone[f"d{c}"]), total("second", n > 0), total("first", n)
                 for i in (1, 2, 3):
                     out[f"c{c}{i}"] = total("first", n >= 3 if i == 3 else n == i)
-            yield pa.RecordBatch.from_arrays([_signed(words), *(pa.array(out[n], pa.int64()) for n in STATS)], names=["word", *STATS])
+            for a in range(0, len(words), STATED):
+                own = slice(a, a + STATED)
+                yield pa.RecordBatch.from_arrays([_signed(words[own]), *(pa.array(out[n][own], pa.int64()) for n in STATS)], names=["word", *STATS])
+        given_back()
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -587,6 +594,7 @@ def _fetched(files: list[str], bits: int, keys: np.ndarray, absent: np.ndarray)
                     at = np.minimum(np.searchsorted(table_keys, keys[a:b]), len(table_keys) - 1)
                     hit = np.flatnonzero(table_keys[at] == keys[a:b])
                     out[a + hit] = np.frombuffer(rows.column(2)[0].as_buffer(), absent.dtype)[at[hit]]
+    given_back()
     return out
 
 
@@ -641,8 +649,11 @@ def _pair_table(files: list[str], bits: int, by: list[list[float]], texts: tuple
                     pair = np.zeros(len(own), PAIR)
                     pair["n1"], pair["n0"], pair["g"] = own["n1"], own["n0"], weights(own, *texts)
                     more[a : a + SOME] = _summands(words[np.searchsorted(names, own["first"])], words[np.searchsorted(names, own["second"])], pair, by)[1]
+                del rows, names, words
                 order = np.argsort(key)
-                yield _row(part, key[order], more[order])
+                key, more = key[order], more[order]
+                given_back()
+                yield _row(part, key, more)
 
     return run
 
@@ -661,6 +672,7 @@ def _by_reading(words: list[str], word_bits: int, pairs: list[str], pair_bits: i
         def flush() -> Iterator[pa.RecordBatch]:
             names, entries = known(0, words, word_bits, _UNKNOWN)
             alone = np.log(entries["p1"].astype(np.float64)) - np.log(entries["p0"].astype(np.float64))
+            del entries
             keys, more = known(1, pairs, pair_bits, np.zeros(1, np.float32))
             for was, some in held:
                 sums, counts = np.zeros(len(was)), np.zeros(len(was), np.int64)
@@ -670,6 +682,7 @@ def _by_reading(words: list[str], word_bits: int, pairs: list[str], pair_bits: i
                     counts[which] += lengths
                 yield pa.RecordBatch.from_arrays([was, pa.array(sums / np.maximum(counts, 1), pa.float64())], names=["was", "difference"])
             held.clear()
+            given_back()
 
         n = 0
         for rows in batches:
@@ -690,7 +703,7 @@ def _by_reading(words: list[str], word_bits: int, pairs: list[str], pair_bits: i
 
 def by_reading(own: DataFrame, model: Model) -> DataFrame | None:
     """Rows (was, text) of ``own`` with their difference, without moving a text; none if the shared folder is in a store that Arrow does not open."""
-    bits = max(0, model.words.count() // PART).bit_length()
+    bits = (model.words.count() // PART).bit_length()
     part = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
     by_part = model.words.select(part.alias("part"), F.col("word").alias("key"), *WORD.names[1:]).repartition(1 << bits, "part").sortWithinPartitions("part")
     words = cut(by_part.mapInArrow(_word_table, TABLE))

@@ -182,6 +182,18 @@ def test_toxicity_counts_all_labelled_texts(spark):
         assert keys[int(toxicity.pair_keys(*pair)[0])] == (i % 2, 1 - i % 2)
 
 
+def test_toxicity_passes_on_small_batches():
+    n = 100_000
+    rows = np.zeros(n, toxicity.PAIRS)
+    rows["first"], rows["second"], rows["n1"] = np.arange(1, n + 1), np.arange(2, n + 2), 1
+    batch = toxicity.pa.RecordBatch.from_arrays([toxicity.pa.array([toxicity.packed_pairs(rows)], toxicity.pa.binary())], names=["packed"])
+    out = list(toxicity._word_stats(iter([batch])))
+    assert max(x.nbytes for x in out) <= 2 << 20  # a batch takes as much of the executor's JVM again
+    words = np.concatenate([x.column(0).to_numpy() for x in out])
+    assert words.tolist() == list(range(1, n + 2))
+    assert sum(x.column(x.schema.get_field_index("t1")).to_numpy().sum() for x in out) == n
+
+
 def test_toxicity_is_calibrated_on_all_rows(spark):
     rng = np.random.default_rng(5)
     difference, toxic = rng.normal(size=45_000) * 0.01, rng.integers(0, 2, 45_000)
