@@ -84,6 +84,12 @@ def bounds_sql() -> str:
     return f"CASE WHEN g IS NULL THEN CAST(NULL AS {BOUNDS}) WHEN {_USABLE} THEN CAST({_REFUSED} AS {BOUNDS}) ELSE {_BOUNDS} END"
 
 
+def side_sql(f: str, axis: str) -> str:
+    """One side of the bounds, a point's straight from its ordinate. Without a lambda, so that Spark compiles it into an aggregate."""
+    own, all_ = f"get(get(get(g.coords, 0), 0), 0).{axis}", f"array_{f}(array_remove({_FLAT}.{axis}, DOUBLE('NaN')))"
+    return f"CASE WHEN g IS NULL THEN CAST(NULL AS DOUBLE) WHEN {_USABLE} THEN CAST({_REFUSED} AS DOUBLE) WHEN g.kind = 'Point' THEN IF(isnan({own}), CAST(NULL AS DOUBLE), {own}) ELSE {all_} END"
+
+
 def envelope_sql() -> str:
     corner = lambda x, y: f"named_struct('x', b.{x}, 'y', b.{y}, 'z', CAST(NULL AS DOUBLE))"
     ring = ", ".join(corner(x, y) for x, y in (("xmin", "ymin"), ("xmax", "ymin"), ("xmax", "ymax"), ("xmin", "ymax"), ("xmin", "ymin")))
@@ -96,11 +102,12 @@ FUNCTIONS = {
     "st_astext": ("STRING", as_text_sql()),
     "st_envelope": (GEOMETRY, envelope_sql()),
     "st_bounds": (BOUNDS, bounds_sql()),
+    **{f"st_{name}": ("DOUBLE", side_sql(f, axis)) for name, f, axis in _SIDES},
 }
 
 
 def register(spark: SparkSession) -> None:
-    """Makes ST_GeometryType, ST_AsText, ST_Envelope (and the helper ST_Bounds) known to the session, in any case."""
+    """Makes ST_GeometryType, ST_AsText, ST_Envelope (and the helpers ST_Bounds, ST_XMin, ST_YMin, ST_XMax and ST_YMax) known to the session, in any case."""
     for name, (returns, body) in FUNCTIONS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(g {GEOMETRY}) RETURNS {returns} DETERMINISTIC CONTAINS SQL RETURN {body}")
 
@@ -137,10 +144,11 @@ def st_bounds(g: Column | str) -> Column:
 def st_extent(g: Column | str, null_if_empty: bool = False) -> Column:
     """Aggregate: the bounds of all geometries, by partial minima and maxima. Without any vertex the fields run
     from the largest double to its negative, or are NULL with ``null_if_empty``."""
-    return extent_of(st_bounds(g), null_if_empty)
+    known = getattr(g, "__dict__", {}).get("_lodestrata_bounds")
+    return extent_of({name: _call(f"st_{name}", g) for name, _, _ in _SIDES} if known is None else known, null_if_empty)
 
 
-def extent_of(bounds: Column, null_if_empty: bool = False, over=None, where: Column | None = None) -> Column:
+def extent_of(bounds: Column | dict[str, Column], null_if_empty: bool = False, over=None, where: Column | None = None) -> Column:
     """The extent of bounds; ``over``: a window; ``where``: only rows that hold it."""
 
     def side(f, field: str, none: str) -> Column:

@@ -1,7 +1,7 @@
 """SQL with the aggregate ST_Extent.
 
 A SQL function may not hold an aggregate, so ``sql`` writes each call out as minima and maxima of the bounds
-before Spark parses the text: FILTER and OVER go to all four, DISTINCT makes no difference and is dropped. Quoted
+before Spark parses the text, each from its own side alone: FILTER and OVER go to all four, DISTINCT makes no difference and is dropped. Quoted
 text and comments are left alone. An item of a select list without a name keeps the call's text as its name.
 """
 
@@ -71,7 +71,7 @@ def expand(text: str) -> str:
             suffix += " " + "".join(tokens[nxt : close + 1])
             stop = close + 1
             nxt = _skip(tokens, stop)
-        side = lambda f, field, none: f"'{field}', coalesce({f}(st_bounds({argument}).{field}){suffix}, {none})"  # noqa: E731, B023
+        side = lambda f, field, none: f"'{field}', coalesce({f}(st_{field}({argument})){suffix}, {none})"  # noqa: E731, B023
         call = f"named_struct({side('min', 'xmin', LARGEST)}, {side('min', 'ymin', LARGEST)}, {side('max', 'xmax', '-' + LARGEST)}, {side('max', 'ymax', '-' + LARGEST)})"
         alone = scopes[-1] and before in ("SELECT", ",", "DISTINCT") and _word(tokens, nxt) in ("", ",", "FROM", ")", ";")
         if alone:
@@ -84,7 +84,7 @@ def expand(text: str) -> str:
 
 def sql(spark: SparkSession, text: str) -> DataFrame:
     """``spark.sql`` with all ST functions, ST_Extent among them."""
-    if not spark.catalog.functionExists("st_bounds"):
+    if not spark.catalog.functionExists("st_xmin"):
         register(spark)
     if not spark.catalog.functionExists("st_geomfromtext"):
         register_formats(spark)

@@ -257,3 +257,18 @@ def test_bounds_are_worked_out_once(spark, sf):
     assert plan.count("array_min(array_remove") <= 2 and len(plan) < 20_000
     plan = catalog.queries()["extent_group"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "flatten" not in plan and "array(" not in plan
+
+
+def test_sides_are_compiled_into_the_aggregate(spark, sf):
+    from lodestrata.plans import catalog
+
+    for name in ("extent_cube", "extent_grouping_sets"):
+        assert "lambda" not in catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    rows = [*((t,) for t in TEXTS), ("POINT (nan 3)",), ("POINT (3 nan)",), ("LINESTRING (nan 1, 2 nan)",), ("MULTIPOLYGON EMPTY",)]
+    g = spark.createDataFrame(rows, "t string").select("t", W.from_wkt("t").alias("g"))
+    g.createOrReplaceTempView("sides")
+    found = sql(spark, "SELECT t, ST_Bounds(g) AS b, named_struct('xmin', ST_XMin(g), 'ymin', ST_YMin(g), 'xmax', ST_XMax(g), 'ymax', ST_YMax(g)) AS s FROM sides").collect()
+    assert len(found) == len(rows) and all(r["s"] == (r["b"] or (None,) * 4) for r in found)
+    assert sql(spark, "SELECT ST_Extent(g) FROM sides").first()[0] == g.select(G.st_extent("g")).first()[0]
+    with pytest.raises(Exception, match="no single type"):
+        spark.range(1).select(G.st_extent(G.untyped(F.col("id"), "Mixed"))).collect()
