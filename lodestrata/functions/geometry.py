@@ -31,7 +31,8 @@ def number_sql(x: str) -> str:
     # Spark's exponents between these bounds, written out: the shortest digits are exact as a decimal
     plain = f"regexp_replace(CAST(CAST({s} AS DECIMAL(38, 21)) AS STRING), '([.][0-9]+?)0+$', '$1')"
     return (
-        f"CASE WHEN contains({s}, 'n') THEN replace({s}, 'Infinity', 'inf') WHEN NOT contains({s}, 'E') THEN {s} "
+        # most numbers: between these bounds there is never an exponent, and the text is made once
+        f"CASE WHEN abs({x}) >= 1E-3D AND abs({x}) < 1E7D THEN {s} WHEN contains({s}, 'n') THEN replace({s}, 'Infinity', 'inf') WHEN NOT contains({s}, 'E') THEN {s} "
         f"WHEN abs({x}) >= 1E-4D AND abs({x}) < 1E16D THEN {plain} ELSE replace(replace({s}, '.0E', 'e'), 'E', 'e') END"
     )
 

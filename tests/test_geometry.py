@@ -272,3 +272,34 @@ def test_sides_are_compiled_into_the_aggregate(spark, sf):
     assert sql(spark, "SELECT ST_Extent(g) FROM sides").first()[0] == g.select(G.st_extent("g")).first()[0]
     with pytest.raises(Exception, match="no single type"):
         spark.range(1).select(G.st_extent(G.untyped(F.col("id"), "Mixed"))).collect()
+
+
+def test_lines_go_together(spark, monkeypatch):
+    line = "LINESTRING (1 2, 3 nan, 5 inf)"
+    texts = [line, None, "LINESTRING EMPTY", "POINT (1 2)", "LINESTRING Z (1 2 3, 4 5 6)", "LINESTRING M (1 2 3, 4 5 6)", "POLYGON ((0 0, 1 1, 2 2, 0 0))", "LINESTRING (9 9)", "MULTILINESTRING ((0 0, 1 1), EMPTY)"]
+    g = W._parse(pa.array(["POINT (0 0)", *texts]))
+    one = lambda rows: [W.decoded(x) for x in rows]
+    for part in (g.slice(1), g.slice(2, 1), g.slice(3, 1), g.slice(4), g.slice(0, 0)):
+        w = W._encode(part)
+        assert w.to_pylist() == [W.encoded(x) for x in part.to_pylist()]
+        assert repr(W._decode(w).to_pylist()) == repr(one(w.to_pylist()))
+    head = struct.pack(">BII", 0, 2, 1), struct.pack("<BII", 1, 2, 1)
+    odd = pa.array([b"skipped", head[0] + struct.pack(">2d", 1, 2), head[1] + struct.pack("<2d", 1, 2) + b"more", None]).slice(1)
+    assert W._decode(odd).to_pylist() == one(odd.to_pylist())
+    for bad in (b"", b"\x01\x02", head[1], b"\x05junkjunkjunk"):
+        with pytest.raises((ValueError, struct.error)):
+            W._decode(pa.array([head[1] + bytes(16), bad]))
+    gap = {"kind": "LineString", "dims": 2, "coords": [[[{"x": 1.0, "y": None, "z": None}]]], "wkt": None}
+    with pytest.raises(struct.error):
+        W._encode(pa.array([gap, W.decoded(head[1] + bytes(16))], W._TYPE))
+
+    calls = []
+    for name in ("encoded", "decoded"):
+        own = getattr(W, name)
+        monkeypatch.setattr(W, name, lambda x, own=own: (calls.append(x), own(x))[1])
+    W._decode(W._encode(W._parse(pa.array([line] * 50 + ["POINT (1 2)"]))))
+    assert len(calls) == 2
+
+    heads = [struct.pack(f"{o}BI", o == "<", flags + code) for o in "<>" for code in range(1, 8) for flags in (0, 1000, 2000, 3000, 0x80000000, 0x40000000)]
+    kinds = [r[0] for r in spark.createDataFrame([(i, h) for i, h in enumerate(heads)], "i int, w binary").orderBy("i").select(W.wkb_geometry_type("w")).collect()]
+    assert kinds == [f"ST_{k}{s}" for _ in "<>" for k in W.ALL for s in ("", "Z", "M", "ZM", "Z", "M")]
